@@ -75,7 +75,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, gram: int, lengths: lis
 def _bitmap(fps: DataFrame, bits: int) -> Column:
     """A literal array of longs, one bit for each fingerprint class: fixed size, so free to ship with the plan."""
     cells = fps.select(F.pmod("fp", F.lit(bits)).alias("c")).groupBy((F.col("c") / 64).cast("int").alias("word"))
-    rows = cells.agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("c", F.lit(64)).cast("int"))).alias("v")).collect()  # at most bits / 64 rows
+    rows = cells.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("c", F.lit(64)).cast("int"))).alias("v")).collect()  # at most bits / 64 rows
     longs = [0] * (bits // 64)
     for r in rows:
         longs[r["word"]] = r["v"]
