@@ -21,61 +21,72 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, let, save
+from quire.llm.common import LOWER, UPPER, let, save
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, GRAM = 10, 5
+#: Every separator on its own: Java then tests a bit set, not a chain of ranges.
+SEPARATORS = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum() or "A" <= chr(c) <= "Z") + "]+"
+SEPARATORS_ANY_CASE = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
+WINDOW, GRAM = 10, 4
 #: The bitmap has this many bits, whatever the size of the benchmark: 128 KB.
 BITMAP_BITS = 1 << 20
 #: Benchmarks of at most so many distinct windows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
-
+def folded_words(text: Column) -> Column:
+    """Words in the lower case of Unicode: at the same places as the words proper, and equal wherever those are."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
-def _gram_hash(h: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(h, at + j) for j in range(n)])
 
+def words_of(text: Column) -> Column:
+    """The words proper, A-Z not yet lower-cased."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS_ANY_CASE), "")
 
-def _fingerprints(words: Column, n: int, window: int, gram: int, use: "callable") -> Column:
-    """``use(starts, hash_of)``: starts of all windows of n words, and the fingerprint of the one at a start."""
-    none = F.array().cast("array<int>")
 
-    def starts(w: Column) -> Column:
-        return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(none)
+def _grams(h: Column, n: int) -> Column:
+    """Hashes of all runs of n values: runs of twice the length are made of two runs."""
+    if n == 1:
+        return h
+    half = n // 2
+    return let(_grams(h, half), lambda g: F.transform(g, lambda x, i: F.xxhash64(x, F.get(g, i + half)) if n % 2 == 0 else F.xxhash64(x, F.get(g, i + half), F.get(h, i + 2 * half))))
 
-    def with_hashes(h: Column) -> Column:
-        if n < window or n < gram:
-            return use(starts(h), lambda s: _gram_hash(h, s, n))
-        last = F.size(h) - gram
-        grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _gram_hash(h, i, gram))).otherwise(F.array().cast("array<bigint>"))
-        return let(grams, lambda g: use(starts(h), lambda s: F.array_min(F.slice(g, s + 1, n - gram + 1))))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), with_hashes)
+def _fingerprints(words: Column, n: int, window: int, gram: int) -> Column:
+    """The fingerprint of every window of n words, by its start: the least of its grams' hashes (short windows: one gram)."""
+    gram = n if n < window else gram
+    none = F.array().cast("array<bigint>")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    starts = F.sequence(F.lit(0), F.size(words) - n)
+    least = lambda g: F.transform(starts, lambda s: F.array_min(F.slice(g, s + 1, n - gram + 1)))
+    return F.when(F.size(words) >= n, let(let(hashes, lambda h: _grams(h, gram)), least)).otherwise(none)
 
 
 def _window_text(words: Column, start: Column, n: int) -> Column:
-    return F.array_join(F.slice(words, start + 1, n), " ")
+    return F.translate(F.array_join(F.slice(words, start + 1, n), " "), UPPER, LOWER)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, gram: int, lengths: list[int]) -> DataFrame:
     """Rows (n, fp, win, item_id): every window of every item; shorter items are one window."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"))
+    items = benchmark.select("item_id", folded_words(F.col("text")).alias("w"), words_of(F.col("text")).alias("x"))
     parts = None
     for n in lengths:
         fit = F.size("w") >= n if n == window else F.size("w") == n
-        found = _fingerprints(F.col("w"), n, window, gram, lambda st, h, n=n: F.transform(st, lambda s: F.struct(h(s).alias("fp"), _window_text(F.col("w"), s, n).alias("win"))))
-        part = items.where(fit).select("item_id", F.explode(found).alias("x")).select(F.lit(n).alias("n"), "x.fp", "x.win", "item_id")
+        part = items.where(fit).select("item_id", "x", F.posexplode(_fingerprints(F.col("w"), n, window, gram)).alias("s", "fp"))
+        part = part.select(F.lit(n).alias("n"), "fp", _window_text(F.col("x"), F.col("s"), n).alias("win"), "item_id")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+def _cell(fp: Column, bits: int) -> tuple[Column, Column]:
+    """The long and the bit in it that stand for a fingerprint: its top bits."""
+    shift = 64 - bits.bit_length() + 1
+    return F.shiftrightunsigned(fp, shift + 6).cast("int"), F.shiftrightunsigned(fp, shift).bitwiseAND(63).cast("int")
+
+
 def _bitmap(fps: DataFrame, bits: int) -> Column:
-    """A literal array of longs, one bit for each fingerprint class: fixed size, so free to ship with the plan."""
-    cells = fps.select(F.pmod("fp", F.lit(bits)).alias("c")).groupBy((F.col("c") / 64).cast("int").alias("word"))
-    rows = cells.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("c", F.lit(64)).cast("int"))).alias("v")).collect()  # at most bits / 64 rows
+    """A literal array of longs, one bit for each class of fingerprints: fixed size, so free to ship with the plan."""
+    word, bit = _cell(F.col("fp"), bits)
+    rows = fps.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("v")).collect()  # at most bits / 64 rows
     longs = [0] * (bits // 64)
     for r in rows:
         longs[r["word"]] = r["v"]
@@ -98,14 +109,23 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     bitmap = _bitmap(wins, BITMAP_BITS)
 
     def suspect(fp: Column) -> Column:
-        cell = F.pmod(fp, F.lit(BITMAP_BITS))
-        return F.getbit(F.get(bitmap, F.shiftright(cell, 6).cast("int")), F.pmod(cell, F.lit(64)).cast("int")) == 1
+        word, bit = _cell(fp, BITMAP_BITS)
+        return F.getbit(F.get(bitmap, word), bit) == 1
+
+    def starts(w: Column, n: int) -> Column:
+        positions = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: suspect(F.get(m, s)))
+        return let(_fingerprints(w, n, window, gram), lambda m: F.when(F.size(m) > 0, positions(m)).otherwise(F.array().cast("array<int>")))
+
+    def texts(found: Column, text: Column) -> Column:
+        # the words proper are made only for documents with a suspected window
+        some = let(words_of(text), lambda w: F.concat(*[F.transform(found[f"n{n}"], lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), _window_text(w, s, n).alias("win"))) for n in lengths]))
+        return F.when(sum((F.size(found[f"n{n}"]) for n in lengths), F.lit(0)) > 0, some)
 
-    def candidates(w: Column) -> Column:
-        found = [_fingerprints(w, n, window, gram, lambda st, h, n=n: F.transform(F.filter(st, lambda s: suspect(h(s))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), _window_text(w, s, n).alias("win")))) for n in lengths]
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.concat(*found).alias("cands"))
+    def judge(w: Column) -> Column:
+        found = F.struct(*[starts(w, n).alias(f"n{n}") for n in lengths])
+        return F.struct(F.size(w).cast("long").alias("n_words"), let(found, lambda f: texts(f, F.col("text"))).alias("cands"))
 
-    docs = documents.select("doc_id", let(words_of(F.col("text")), candidates).alias("x"))
+    docs = documents.select("doc_id", let(folded_words(F.col("text")), judge).alias("x"))
     judged = save(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "x.n_words", "x.cands"), "doc-windows")
 
     # Windows that the same items have form a class, named by its smallest window: documents meet classes, not items.
