@@ -34,7 +34,8 @@ SAMPLE, SAMPLE_BYTES = 2000, 4_000_000
 MARKERS = 20_000
 BITS, THRESHOLD = 20, 0.3
 _POWERS = Powers()
-_KINDS = 8
+_HEADS = (4, 5, 6, 7, 8)
+_KINDS = 4 + len(_HEADS)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.nda
     h = RangeHash(data, _POWERS)
     size = ends - starts
     word = h(starts, ends)
-    parts = [word] + [h(starts, starts + np.minimum(size, k)) for k in (3, 4, 5)] + [h(ends - np.minimum(size, k), ends) for k in (3, 4)]
+    parts = [word] + [h(starts, starts + np.minimum(size, k)) for k in _HEADS] + [h(ends - np.minimum(size, 4), ends)]
     edge = np.uint64(0x5851F42D4C957F2D)
     before, after = np.full(n, edge), np.full(n, edge)
     same = doc[1:] == doc[:-1]
@@ -184,9 +185,9 @@ def _tag(unit: np.ndarray, doc: np.ndarray, labels: np.ndarray, markers: np.ndar
 
 
 def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(tokens, 3): hashes of the word, and of its first 4 and 5 bytes if it is longer than that, else of the word."""
+    """(tokens, units): hashes of the word and of its first bytes; a beginning that is a word by itself is the same unit."""
     h, size = RangeHash(data, _POWERS), ends - starts
-    cols = [h(starts, ends)] + [np.where(size > k, h(starts, starts + np.minimum(size, k)) ^ np.uint64(k), h(starts, ends)) for k in (4, 5)]
+    cols = [h(starts, ends)] + [h(starts, starts + np.minimum(size, k)) for k in _HEADS]
     return np.stack(cols, axis=1).view(np.int64)
 
 
@@ -198,7 +199,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(starts):
             continue
         u = units(data, starts, ends)
-        flat, owner = u.reshape(-1), np.repeat(doc, 3)
+        flat, owner = u.reshape(-1), np.repeat(doc, u.shape[1])
         order = np.argsort(flat, kind="stable")  # the documents of a unit stay in order
         flat, owner = flat[order], owner[order]
         once = np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))
@@ -219,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     prior = total[1] / (total[0] + total[1])
     counts = labelled.mapInArrow(_count_units, "unit long, toxic long, docs long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("d"))
     share = (F.col("t") + 2 * prior) / (F.col("d") + 2.0)
-    strong = counts.where((F.col("t") >= 5) & (share >= 0.9)).orderBy(F.desc("t"), "unit").limit(MARKERS).select("unit")
+    strong = counts.where((F.col("t") >= 5) & (share >= 0.85)).orderBy(F.desc("t"), "unit").limit(MARKERS).select("unit")
     markers = np.array([r["unit"] for r in strong.collect()], dtype=np.int64)
     part = labelled.where(F.octet_length("text") <= SAMPLE_BYTES // 40).withColumn("h", F.xxhash64("text"))
     best = part.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "text"))).where(F.col("r") <= SAMPLE)
