@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language, mixing, sharding, simhash, toxicity
+from quire.llm import decontaminate, language, mixing, secrets, sharding, simhash, toxicity
 from quire.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("shard_row_bytes").alias("n_bytes"), "shard_id", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op6_language, op7_simhash, op8_toxicity, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_secrets, op6_language, op7_simhash, op8_toxicity, op9_decontamination, op10_sharding)}
 SQL = {"op1_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL, "op10_sharding": sharding.SQL}
