@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, UPPER, let, save
+from quire.llm.common import LOWER, UPPER, fresh, let, save
 
 #: Every separator on its own: Java then tests a bit set, not a chain of ranges.
 SEPARATORS = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum() or "A" <= chr(c) <= "Z") + "]+"
@@ -93,15 +93,8 @@ def _bitmap(fps: DataFrame, bits: int) -> Column:
     return F.from_json(F.lit(json.dumps(longs)), "array<bigint>")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(uid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``documents``.
-
-    ``uid`` numbers the input rows. Null text has no words; a null ``doc_id`` is
-    kept; repeated rows are judged one by one. Items without words match nothing;
-    repeated items count once; an item whose id is null marks words as hit but is
-    not counted or listed. An empty benchmark leaves every document clean. Other
-    columns are ignored. Documents of any length are processed whole.
-    """
+def _candidates(documents: DataFrame, benchmark: DataFrame, window: int, gram: int, carry: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three saved tables: (uid, *carry, n_words, cands) of the documents, (n, win, cls) and (n, win, item_id) of the benchmark."""
     benchmark = benchmark.select("item_id", "text")
     short = [r["n"] for r in benchmark.select(F.size(words_of(F.col("text"))).alias("n")).where(f"n between 1 and {window - 1}").distinct().collect()]  # at most window - 1 rows
     lengths = [window, *sorted(short)]
@@ -125,8 +118,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         found = F.struct(*[starts(w, n).alias(f"n{n}") for n in lengths])
         return F.struct(F.size(w).cast("long").alias("n_words"), let(found, lambda f: texts(f, F.col("text"))).alias("cands"))
 
-    docs = documents.select("doc_id", let(folded_words(F.col("text")), judge).alias("x"))
-    judged = save(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "x.n_words", "x.cands"), "doc-windows")
+    docs = documents.select(*carry, let(folded_words(F.col("text")), judge).alias("x"))
+    judged = save(docs.select(F.monotonically_increasing_id().alias("uid"), *carry, "x.n_words", "x.cands"), "doc-windows")
 
     # Windows that the same items have form a class, named by its smallest window: documents meet classes, not items.
     each = wins.select("n", "win", "item_id").distinct()
@@ -134,23 +127,47 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     names = sets.groupBy("k", "a", "b").agg(F.min(F.struct("n", "win")).alias("cls"))
     classed = sets.join(names, (sets.k == names.k) & sets.a.eqNullSafe(names.a) & sets.b.eqNullSafe(names.b)).select("n", "win", F.xxhash64("cls.n", "cls.win").alias("cls"))
     classed = save(classed, "window-classes")
-    members = each.withColumn("cls", F.xxhash64("n", "win")).join(classed.select("cls").distinct(), "cls", "left_semi").where("item_id is not null").select("cls", "item_id").distinct()
-    bounded = classed.count() <= BROADCAST_WINDOWS
-    small = F.broadcast if bounded else (lambda x: x)
+    return judged, classed, each
+
+
+def _hits(judged: DataFrame, classed: DataFrame) -> DataFrame:
+    """(uid, s, e, cls): occurrences of benchmark windows, words s to e."""
+    small = F.broadcast(classed) if classed.count() <= BROADCAST_WINDOWS else classed
+    found = judged.select("uid", F.explode("cands").alias("c")).select("uid", "c.*").join(small, ["n", "win"])
+    return save(found.select("uid", "s", (F.col("s") + F.col("n")).alias("e"), "cls"), "window-hits")
+
 
-    hits = judged.select("uid", F.explode("cands").alias("c")).select("uid", "c.*").join(small(classed), ["n", "win"]).select("uid", "s", (F.col("s") + F.col("n")).alias("e"), "cls")
-    hits = save(hits, "window-hits")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``documents``.
+
+    Null text has no words; a null ``doc_id`` is kept; repeated rows are judged one by one. Items without words match nothing;
+    repeated items count once; an item whose id is null marks words as hit but is
+    not counted or listed. An empty benchmark leaves every document clean. Other
+    columns are ignored. Documents of any length are processed whole.
+    """
+    judged, classed, each = _candidates(documents, benchmark, window, gram, ["doc_id"])
+    members = each.withColumn("cls", F.xxhash64("n", "win")).join(classed.select("cls").distinct(), "cls", "left_semi").where("item_id is not null").select("cls", "item_id").distinct()
+    hits = _hits(judged, classed)
     before = F.max("e").over(Window.partitionBy("uid").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     covered = hits.select("uid", "s", "e").distinct().select("uid", (F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(before, F.lit(0))))).alias("new")).groupBy("uid").agg(F.sum("new").alias("n_hit"))
-    items = hits.select("uid", "cls").distinct().join(small(members), "cls").select("uid", "item_id").distinct()
+    items = hits.select("uid", "cls").distinct().join(members, "cls").select("uid", "item_id").distinct()
     items = items.groupBy("uid").agg(F.count("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
     return (
         judged.select("uid", "doc_id", "n_words").join(covered, "uid", "left").join(items, "uid", "left")
-        .select("uid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                 F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
     )
 
 
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``documents`` without those that hold a window of ``benchmark``. All columns pass through; the cases are those of ``decontaminate``."""
+    row = fresh("row", documents)
+    packed = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row))
+    judged, classed, _ = _candidates(packed, benchmark, window, gram, [row])
+    bad = _hits(judged, classed).select("uid").distinct()
+    return judged.join(bad, "uid", "left_anti").select(*[F.col(f"{row}.`{c}`").alias(c) for c in documents.columns])
+
+
 SQL = r"""
 with dw as (
   select row_number() over () as uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

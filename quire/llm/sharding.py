@@ -180,7 +180,9 @@ class ShardStore:
         rows = self._rows([f for r in now["runs"] for f in r["files"]], now["schema"])
         names = now["schema"]["names"]
         number = F.regexp_extract(F.col("_metadata.file_path"), r"shard=(\d+)/[^/]*$", 1)
-        return rows.withColumn(shard_name, F.coalesce(F.nullif(number, F.lit("")).cast("long"), F.lit(-1)).cast("long")).drop(names["shard_key"]).withColumnRenamed(names["shard_bytes"], "shard_row_bytes")
+        rows = rows.withColumn(shard_name, F.coalesce(F.nullif(number, F.lit("")).cast("long"), F.lit(-1)).cast("long"))
+        own = [c for c in rows.columns if c not in (names["shard_key"], names["shard_bytes"], shard_name)]
+        return rows.select(*[F.col(f"`{c}`") for c in own], shard_name, F.col(names["shard_bytes"]).alias("shard_row_bytes"))
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, arrivals: int = ARRIVALS) -> DataFrame:

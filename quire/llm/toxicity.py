@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import save
+from quire.llm.common import fresh, save
 from quire.llm.kernels import Powers, RangeHash, mix, slices, spans, text_bytes
 from quire.llm.language import fold, held_out, letters
 
@@ -281,3 +281,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     found = score(rows, model)
     return found.select("doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more, under a model learned from ``docs`` and ``labels``.
+    All columns pass through; the cases are those of ``classify``."""
+    row = fresh("row", docs)
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    clean = score(packed, learn(docs, labels)).where(F.col("toxic_score") < threshold)
+    return clean.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
