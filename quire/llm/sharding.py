@@ -125,14 +125,18 @@ class ShardStore:
                 found.append(at[at.index(root):])
         return sorted(found)
 
-    def compact(self) -> int | None:
-        """Merge until no tier holds ``fan_in`` runs. The last version, None if nothing was merged."""
+    def compact(self, final: bool = False) -> int | None:
+        """Merge until no tier holds ``fan_in`` runs; ``final``: then merge what is left of several runs, or of arrivals
+        never merged. The last version, None if nothing was merged."""
         version = None
         while True:
             tiers: dict[int, list[Run]] = {}
             for r in (Run(**x) for x in self.manifest()["runs"]):
                 tiers.setdefault(r.tier(self.fan_in), []).append(r)
             full = next((runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fan_in), None)
+            if full is None and final:
+                rest = [r for runs in tiers.values() for r in runs]
+                full = rest if len(rest) > 1 or any("shard=" not in f for r in rest for f in r.files) else None
             if full is None:
                 return version
             version = self._merge(full)
@@ -179,7 +183,8 @@ class ShardStore:
             raise ValueError("the store is empty")
         rows = self._rows([f for r in now["runs"] for f in r["files"]], now["schema"])
         names = now["schema"]["names"]
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"shard=(\d+)/[^/]*$", 1)
+        stored = any(r["files"] for r in now["runs"])
+        number = F.regexp_extract(F.col("_metadata.file_path") if stored else F.lit(""), r"shard=(\d+)/[^/]*$", 1)
         rows = rows.withColumn(shard_name, F.coalesce(F.nullif(number, F.lit("")).cast("long"), F.lit(-1)).cast("long"))
         own = [c for c in rows.columns if c not in (names["shard_key"], names["shard_bytes"], shard_name)]
         return rows.select(*[F.col(f"`{c}`") for c in own], shard_name, F.col(names["shard_bytes"]).alias("shard_row_bytes"))
@@ -196,7 +201,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", target_bytes
     store = ShardStore(spark, f"{shared_dir(spark)}/quire/store-{uuid.uuid4().hex}", target_bytes, fan_in)
     digit = F.conv(F.substring(F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))), 1, 1), 16, 10).cast("int")
     store.append(docs, key, text, (digit * arrivals / 16).cast("int"), arrivals)
-    store.compact()
+    store.compact(final=True)
     store.vacuum()
     return store.read()
 
