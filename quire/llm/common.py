@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -65,3 +66,9 @@ def fresh(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no frame needs any more: they go when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
