@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language, mixing, neighbours, secrets, sharding, simhash, toxicity
+from quire.llm import decontaminate, exact_substrings, language, mixing, neighbours, passages, secrets, sharding, simhash, toxicity
 from quire.llm.common import table
 
 
@@ -13,10 +13,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("shard_row_bytes").alias("n_bytes"), "shard_id", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_neighbours, op5_secrets, op6_language, op7_simhash, op8_toxicity, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_passages, op3_neighbours, op4_exact_substrings, op5_secrets, op6_language, op7_simhash, op8_toxicity, op9_decontamination, op10_sharding)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
