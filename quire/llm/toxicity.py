@@ -33,6 +33,12 @@ SAMPLE, SAMPLE_BYTES = 2000, 4_000_000
 #: Bound on the words and beginnings that can mark a token as toxic, strongest evidence first.
 MARKERS = 20_000
 BITS, THRESHOLD = 20, 0.3
+#: A unit needs this many toxic documents, and this share of them, to be a marker; so there are never very many.
+LEAST_DOCS, LEAST_SHARE = 5, 5e-4
+#: Bits of the map of such units that filters the words of clean documents: 512 KB, whatever the input.
+MAP_BITS = 22
+#: Label tables of at most so many rows are broadcast to the texts; for larger ones the texts are shuffled.
+BROADCAST_LABELS = 1_000_000
 _POWERS = Powers()
 _HEADS = (4, 5, 6, 7, 8)
 _KINDS = 4 + len(_HEADS)
@@ -191,37 +197,66 @@ def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack(cols, axis=1).view(np.int64)
 
 
-def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold a unit, by label: summed for each batch before they are shuffled."""
+def _cells(unit: np.ndarray) -> np.ndarray:
+    return (mix(unit.view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def _count_units(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Documents that hold a unit (of those ``wanted`` may want): summed for each batch before they are shuffled."""
     for b in slices(batches, "text", 1 << 20):
         data, starts, ends, doc = tokens(b.column("text"))
-        label = b.column("toxic").to_numpy(zero_copy_only=False)
         if not len(starts):
             continue
         u = units(data, starts, ends)
         flat, owner = u.reshape(-1), np.repeat(doc, u.shape[1])
+        if wanted is not None:
+            use = wanted[_cells(flat)]
+            flat, owner = flat[use], owner[use]
+        if not len(flat):
+            continue
         order = np.argsort(flat, kind="stable")  # the documents of a unit stay in order
         flat, owner = flat[order], owner[order]
         once = np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))
-        flat, owner = flat[once], owner[once]
+        flat = flat[once]
         head = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        keys, toxic = flat[head], np.add.reduceat(label[owner].astype(np.int64), head)
-        every = np.diff(np.append(head, len(flat)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic), pa.array(every)], names=["unit", "toxic", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[head]), pa.array(np.diff(np.append(head, len(flat))))], names=["unit", "docs"])
+
+
+def find_markers(labelled: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Units that stand nearly only in toxic documents, by counts over all of ``labelled`` (text, toxic)."""
+    least = max(LEAST_DOCS, int(LEAST_SHARE * toxic))
+    counted = labelled.where("toxic = 1").select("text").mapInArrow(_count_units, "unit long, docs long").groupBy("unit").agg(F.sum("docs").alias("t")).where(F.col("t") >= least)
+    counted = save(counted, "units-of-toxic-texts")
+    spark = labelled.sparkSession
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_cells(b.column("unit").to_numpy(zero_copy_only=False))))], names=["cell"])
+
+    wanted = np.zeros(1 << MAP_BITS, dtype=bool)
+    wanted[counted.select("unit").mapInArrow(mark, "cell long").distinct().toArrow().column("cell").to_numpy()] = True  # at most 2**MAP_BITS rows
+    shared = spark.sparkContext.broadcast(np.packbits(wanted))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_units(batches, np.unpackbits(shared.value).view(bool))
+
+    others = labelled.where("toxic = 0").select("text").mapInArrow(count, "unit long, docs long").groupBy("unit").agg(F.sum("docs").alias("c"))
+    both = counted.join(others, "unit", "left").select("unit", "t", (F.col("t") + F.coalesce("c", F.lit(0))).alias("d"))
+    share = (F.col("t") + 2 * toxic / (toxic + clean)) / (F.col("d") + 2.0)
+    best = both.where(share >= 0.85).orderBy(F.desc("t"), "unit").limit(MARKERS).select("unit")
+    return best.toArrow().column("unit").to_numpy()
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     mine = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    labelled = save(mine.join(known, "doc_id").select("text", "toxic"), "labelled-texts")
+    known = save(known, "labels")
+    few = known.count() <= BROADCAST_LABELS
+    labelled = save(mine.join(F.broadcast(known) if few else known, "doc_id").select("text", "toxic"), "labelled-texts")
     total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if not total.get(0) or not total.get(1):
         return train([], np.zeros(0, dtype=np.int64))
-    prior = total[1] / (total[0] + total[1])
-    counts = labelled.mapInArrow(_count_units, "unit long, toxic long, docs long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("d"))
-    share = (F.col("t") + 2 * prior) / (F.col("d") + 2.0)
-    strong = counts.where((F.col("t") >= 5) & (share >= 0.85)).orderBy(F.desc("t"), "unit").limit(MARKERS).select("unit")
-    markers = np.array([r["unit"] for r in strong.collect()], dtype=np.int64)
+    markers = find_markers(labelled, total[1], total[0])
     part = labelled.where(F.octet_length("text") <= SAMPLE_BYTES // 40).withColumn("h", F.xxhash64("text"))
     best = part.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "text"))).where(F.col("r") <= SAMPLE)
     kept = best.withColumn("b", F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("r"))).where(F.col("b") <= SAMPLE_BYTES)
