@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 def compare_bytes(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """(equal, first differing offset, reason): -1 if equal; where one is a prefix of the other, the shorter length."""
-    ha, hb = F.hex(a), F.hex(b)
-    n = (F.least(F.length(ha), F.length(hb)) / 2).cast("int")
-    differ = (ha != hb) & ~F.startswith(ha, hb) & ~F.startswith(hb, ha)  # only then is there anything to look for
-    first = F.when(differ & (n > 0), F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(ha, 2 * i - 1, F.lit(2)) != F.substring(hb, 2 * i - 1, F.lit(2))), True))
-    offset = F.when(ha == hb, F.lit(-1)).otherwise(F.coalesce(F.nullif(first, F.lit(0)) - 1, n)).cast("long")
-    reason = F.when(ha == hb, F.lit("equal")).when(F.coalesce(first, F.lit(0)) > 0, F.lit("byte")).otherwise(F.lit("length"))
-    return ha == hb, offset, reason
+    a, b = a.cast("binary"), b.cast("binary")
+    n = F.least(F.octet_length(a), F.octet_length(b))
+    part = lambda x, i, k: F.substring(x, (i * k + 1).cast("int"), F.lit(k))
+    first = lambda ids, k: F.get(F.filter(ids, lambda i: part(a, i, k) != part(b, i, k)), F.lit(0))
+    # the first block of 256 bytes that differs, then the first byte in it: bytes are reached in constant time
+    block = first(F.sequence(F.lit(0), F.floor((n - 1) / 256).cast("int")), 256)
+    byte = F.when(n > 0, F.get(F.transform(F.array(block), lambda k: first(F.sequence(k * 256, F.least(k * 256 + 255, n - 1)), 1)), F.lit(0)))
+    same = a == b
+    found = F.when(~same & (n > 0), byte)
+    offset = F.when(same, F.lit(-1)).otherwise(F.coalesce(found, n)).cast("long")
+    reason = F.when(same, F.lit("equal")).when(found.isNotNull(), F.lit("byte")).otherwise(F.lit("length"))
+    return same, offset, reason
 
 
 def compare_rasters(left: DataFrame, right: DataFrame, width: Column, page: str = "page", row: str = "r_", col: str = "c_") -> DataFrame:
