@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.sources.codecs import FilterError, decode_chain
+from quire.sources.crypt import Handler
 
 DELIMITERS = b"()<>[]{}/%"
 WHITE = b"\0\t\n\x0c\r "
@@ -208,6 +209,7 @@ class Document:
     trailer: dict = field(default_factory=dict)
     sections: list[tuple[int, int, int, int, bool]] = field(default_factory=list)
     rebuilt: bool = False
+    crypt: tuple | None = None
     _cache: dict = field(default_factory=dict)
     _busy: set = field(default_factory=set)
 
@@ -225,9 +227,33 @@ class Document:
             doc = cls(data, rebuilt=True)
             doc._scan()
         if "Encrypt" in doc.trailer:
-            raise PdfError("invalidaccess")
+            d, ids = doc.get(doc.trailer["Encrypt"]), doc.get(doc.trailer.get("ID")) or [b""]
+            try:
+                handler = Handler({k: doc.get(v) for k, v in d.items()}, doc.get(ids[0]))
+            except (KeyError, TypeError, IndexError, AttributeError):
+                raise PdfError("invalidaccess") from None
+            if not handler.ok:
+                raise PdfError("invalidaccess")
+            doc.crypt = (handler, doc.trailer["Encrypt"].num if isinstance(doc.trailer["Encrypt"], Ref) else -1)
+            doc._cache.clear()
         return doc
 
+    def _open(self, value, num: int, gen: int):
+        """Decrypt the strings and the stream of an object."""
+        handler, own = self.crypt
+        if num == own:
+            return value
+        if isinstance(value, bytes):
+            return handler.decrypt(num, gen, value)
+        if isinstance(value, list):
+            return [self._open(v, num, gen) for v in value]
+        if isinstance(value, dict):
+            return {k: self._open(v, num, gen) for k, v in value.items()}
+        if isinstance(value, Stream):
+            plain = value.dict.get("Type") == "XRef"
+            return value if plain else Stream(self._open(value.dict, num, gen), handler.decrypt(num, gen, value.raw))
+        return value
+
     def _chain(self, at: int | None) -> None:
         seen: list[int] = []
         while at is not None:
@@ -348,6 +374,8 @@ class Document:
                 num, _, value, _ = read_object(self.data, row[0], lambda x: self.get(x) if isinstance(x, Ref) else x)
                 if num != ref.num:
                     raise PdfError("syntaxerror")
+                if self.crypt:
+                    value = self._open(value, ref.num, row[1])
         finally:
             self._busy.discard(ref.num)
         self._cache[ref.num] = value

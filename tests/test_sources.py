@@ -118,3 +118,27 @@ def test_page_lists():
     for bad in ("1-3,5", "2,1", "1,,2", ""):
         with pytest.raises(ValueError):
             compare.contiguous_page_list(bad)
+
+
+def test_aes_vectors():
+    from quire.sources.crypt import Aes, cbc_decrypt, cbc_encrypt
+
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for key, want in (("000102030405060708090a0b0c0d0e0f", "69c4e0d86a7b0430d8cdb78070b4c55a"), ("000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f", "8ea2b7ca516745bfeafc49904b496089")):
+        aes = Aes(bytes.fromhex(key))
+        assert aes.encrypt_block(plain).hex() == want and aes.decrypt_block(bytes.fromhex(want)) == plain
+    assert cbc_decrypt(plain, plain, cbc_encrypt(plain, plain, bytes(48))) == bytes(48)
+
+
+@pytest.mark.parametrize("aes", [False, True])
+def test_files_with_the_empty_password_open(aes):
+    from quire.sources.crypt import protect
+
+    page = b"0 0 10 10 re f"
+    body, streams = protect([], {4: page}, aes=aes)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Contents 4 0 R >>", sinks.stream(streams[4], compress=False), body]
+    data = sinks.pdf_bytes(objects).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 5 0 R /ID [<%s> <00>]" % b"0123456789abcdef".hex().encode())
+    doc = pdf.Document.open(data)
+    assert not doc.rebuilt and doc.contents(doc.pages()[0]) == page
+    with pytest.raises(pdf.PdfError, match="invalidaccess"):
+        pdf.Document.open(data.replace(b"/P -4", b"/P -8"))
