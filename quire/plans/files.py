@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import layout, raster, rules
 from quire.plans.common import pixels, table
-from quire.sources import codecs, content, pdf, postscript, sinks
+from quire.sources import codecs, content, pdf, postscript, sinks, structure
 
 
 def _made(rows: DataFrame, column: str, make) -> DataFrame:
@@ -131,8 +131,22 @@ g as (select p as page, r_, c_ from range(4) a(p), range(64) b(r_), range(64) c(
 f as (select page, r_, c_, printf('%02x%02x%02x', least(coalesce(r, 255), 255), least(coalesce(g.g, 255), 255), least(coalesce(b, 255), 255)) as h from (select g.page, g.r_, g.c_, px.r, px.g, px.b from g left join px using (page, r_, c_)) g)
 select page, (13 + 64 * 64 * 3)::bigint as size, md5(unhex('50360a36342036340a3235350a' || string_agg(h, '' order by r_, c_))) as md5 from f where page in (select page from px) group by page"""
 
-QUERIES = {f.__name__: f for f in (pdf_text, pdf_info, pdf_objects, archive_rules, filter_round_trips, postscript_shapes, page_files)}
-SQL = {"pdf_text": PDF_TEXT_SQL, "pdf_info": PDF_INFO_SQL, "pdf_objects": PDF_OBJECTS_SQL, "archive_rules": ARCHIVE_RULES_SQL, "filter_round_trips": FILTER_ROUND_TRIPS_SQL, "page_files": PAGE_FILES_SQL}
+RULES = ("", "ua2-marked", "ua2-structtree", "ua2-rolemap", "ua2-mcid", "ua2-document", "ua2-content", "ua2-lang", "ua2-displaydoctitle", "ua2-pdfuaid", "ua2-title")
+
+
+def accessibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First violated accessibility rule of tagged files that each break one rule, or none, and what their trees hold."""
+    f = _made(table(spark, sf_dir, "documents"), "text", lambda t, i: structure.tagged_pdf(RULES[i % 11]))
+    first = structure.accessibility_violations(structure.facts(f))
+    tree = structure.elements(f).where("error is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements"), F.max("actual").alias("actual"))
+    claims = structure.items(f).where("error is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("claims"))
+    return first.join(tree, "doc_id", "left").join(claims, "doc_id", "left")
+
+
+ACCESSIBILITY_RULES_SQL = f"""select doc_id, nullif({list(RULES)}[doc_id % 11 + 1], '') as rule, case when doc_id % 11 <> 2 then 2::bigint end as elements, case when doc_id % 11 <> 2 then 'said' end as actual, case when doc_id % 11 <> 2 then 1::bigint end as claims from documents"""
+
+QUERIES = {f.__name__: f for f in (accessibility_rules, pdf_text, pdf_info, pdf_objects, archive_rules, filter_round_trips, postscript_shapes, page_files)}
+SQL = {"accessibility_rules": ACCESSIBILITY_RULES_SQL, "pdf_text": PDF_TEXT_SQL, "pdf_info": PDF_INFO_SQL, "pdf_objects": PDF_OBJECTS_SQL, "archive_rules": ARCHIVE_RULES_SQL, "filter_round_trips": FILTER_ROUND_TRIPS_SQL, "page_files": PAGE_FILES_SQL}
 
 
 def _shapes_sql() -> str:

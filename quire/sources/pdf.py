@@ -411,14 +411,14 @@ class Document:
                 for kid in self.get(d["Kids"]) or []:
                     walk(kid, inherited, mark)
             else:
-                out.append({**inherited, **d})
+                out.append({**inherited, **d, "__num": node.num if isinstance(node, Ref) else -1})
 
         try:
             walk((self.get(self.trailer["Root"]) or {}).get("Pages"), {}, ())
         except (PdfError, KeyError):
             out.clear()
         if not out:
-            out = [v for _, _, v in self.objects() if isinstance(v, dict) and v.get("Type") == "Page"]
+            out = [{**v, "__num": n} for n, _, v in self.objects() if isinstance(v, dict) and v.get("Type") == "Page"]
         return out
 
     def contents(self, page: dict) -> bytes:
