@@ -105,3 +105,27 @@ def draw_image(target: DataFrame, image: DataFrame, inverse: tuple[Column, ...],
     u, v = F.floor(x * width).cast("int"), F.floor(y * height).cast("int")
     at = target.withColumn("u", u).withColumn("v", v).where((x >= 0) & (x < 1) & (y >= 0) & (y < 1))
     return at.join(image.select(F.col("row").alias("v"), F.col("col").alias("u"), "r", "g", "b"), ["u", "v"])
+
+
+def render(marks: DataFrame, width: int, height: int) -> DataFrame:
+    """(doc_id, page, row, col, r, g, b): painted pixels of a marks table, in paint order; what is not listed is white."""
+    m = marks.where("op in ('fill', 'eofill', 'stroke')").withColumn("path_id", F.struct("doc_id", "page", "seq"))
+    points = m.select("path_id", "op", "half", F.posexplode("points").alias("seq", "p")).select("path_id", "op", "half", "seq", "p.x", "p.y", "p.move")
+    parts = [fill(edges_of(points.where(F.col("op") == op)), width, height, op == "eofill") for op in ("fill", "eofill")]
+    lines = points.where("op = 'stroke'").withColumn("sub", F.sum(F.col("move").cast("int")).over(Window.partitionBy("path_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("path_id", "sub").orderBy("seq")
+    seg = lines.select("path_id", "half", F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")).where("x0 is not null")
+    parts.append(stroke_wide(seg, width, height))
+    hit = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    painted = hit.join(m.select("path_id", "r", "g", "b", "alpha", "mode"), "path_id").select(F.struct("path_id.doc_id", "path_id.page").alias("page"), "path_id.seq", "row", "col", "r", "g", "b", "alpha", "mode")
+    return fold_marks(painted).select("page.doc_id", "page.page", "row", "col", "r", "g", "b")
+
+
+def stroke_wide(segments: DataFrame, width: int, height: int, path: str = "path_id") -> DataFrame:
+    """As ``stroke``, with the half width of each segment in ``half``."""
+    half = F.col("half")
+    rows = F.sequence(F.greatest(F.lit(0), F.floor(height - F.greatest("y0", "y1") - half - 0.5).cast("int")), F.least(F.lit(height - 1), F.ceil(height - F.least("y0", "y1") + half - 0.5).cast("int")))
+    cols = F.sequence(F.greatest(F.lit(0), F.floor(F.least("x0", "x1") - half - 0.5).cast("int")), F.least(F.lit(width - 1), F.ceil(F.greatest("x0", "x1") + half - 0.5).cast("int")))
+    near = segments.where((F.greatest("x0", "x1") + half >= 0) & (F.least("x0", "x1") - half <= width) & (F.greatest("y0", "y1") + half >= 0) & (F.least("y0", "y1") - half <= height))
+    tried = near.withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols))
+    return tried.where(segment_distance(F.col("col") + 0.5, height - F.col("row") - 0.5) <= half).select(path, "row", "col").distinct()
