@@ -101,7 +101,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
     """Sorted suffixes of a sequence in which every text ends in a symbol of its own."""
-    rank, step = codes.astype(np.int64), 1
+    rank, step, n = codes.astype(np.int64), 1, int(codes.max()) + 2
+    while step < 4 and n < 1 << 31:  # two symbols, then four, as one number
+        after = np.zeros(len(rank), dtype=np.int64)
+        after[:-step] = rank[step:] + 1 if step < len(rank) else after[:-step]
+        rank, step, n = rank * n + after, 2 * step, n * n
+    order = np.argsort(rank, kind="stable")
+    k = rank[order]
+    rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+    if int(rank[order[-1]]) == len(rank) - 1:
+        return order
     while True:
         second = np.full(len(rank), -1, dtype=np.int64)
         second[:-step] = rank[step:] if step < len(rank) else second[:-step]
@@ -134,27 +143,31 @@ class Shard:
 
 
 def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(flat rank, block) of all suffixes in merged order; suffixes of one block agree in ``depth`` bytes.
+    """(flat rank, block) of the suffixes that agree in ``depth`` bytes with another, in merged order.
 
-    End symbols are the smallest, all different, in order of shard and text, so their rows never move."""
+    A suffix that no other agrees with needs no more rounds, nor does any suffix that it ends: each round goes on with the
+    blocks that still hold several. End symbols are all different, so no suffix agrees with another beyond its text."""
     base = np.cumsum([0] + [len(s.order) for s in shards])
     symbols, closing = np.concatenate([s.symbols for s in shards]), np.concatenate([s.closing for s in shards])
     to_first = np.concatenate([s.to_first + b for s, b in zip(shards, base)]).astype(np.int32)
-    ends = np.concatenate([np.arange(len(s.ends)) + b for s, b in zip(shards, base)]).astype(np.int32)
-    rows = np.concatenate([ends, np.concatenate([np.arange(len(s.ends), len(s.order)) + b for s, b in zip(shards, base)])]).astype(np.int32)
-    own = np.arange(len(ends), dtype=np.int32)
+    # one look-up a row and round: the row that its symbol leads to, whether a text begins there, the symbol
+    packed = to_first.astype(np.int64) << 9 | closing.astype(np.int64) << 8 | symbols
+    rows = np.arange(len(packed))
     block = np.zeros(len(rows), dtype=np.int32)  # no byte seen yet: all agree
     for _ in range(depth):
-        inner = ~closing[rows]
-        r, b = rows[inner], block[inner]
-        s = symbols[r]
-        order = np.argsort(s, kind="stable")
-        s, b = s[order], b[order]
-        new = np.ones(len(s), dtype=np.int32)
+        p = packed[rows]
+        inner = p & 256 == 0
+        p, block = p[inner], block[inner]
+        order = np.argsort(p.astype(np.uint8), kind="stable")
+        p, b = p[order], block[order]
+        s = p.astype(np.uint8)
+        new = np.ones(len(s), dtype=bool)
         new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        rows = np.concatenate([ends, to_first[r][order]])
-        block = np.concatenate([own, np.cumsum(new, dtype=np.int32) + np.int32(len(ends) - 1)])
-        if new.all():
+        keep = ~new
+        keep[:-1] |= ~new[1:]
+        block = np.cumsum(new, dtype=np.int32)[keep]
+        rows = p[keep] >> 9
+        if not len(rows):
             break
     return rows, block
 
