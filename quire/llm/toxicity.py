@@ -141,11 +141,9 @@ def train(rows: list[tuple[str, int]], markers: np.ndarray, epochs: int = 25, ra
     labels = np.array([label for _, label in rows], dtype=int)
     if len(set(labels.tolist())) < 2 or not len(markers):
         return plain
-    data, starts, ends, doc = tokens(pa.array([t for t, _ in rows], pa.large_string()))
-    gold = _tag(units(data, starts, ends), doc, labels, markers)
+    feats, doc, gold = _tagged(rows, labels, markers)
     if not gold.any():
         return plain
-    feats = features(data, starts, ends, doc)
     sizes = np.bincount(doc, minlength=len(rows))
     # transitions by counts of the tagged chains; evidence by gradient steps on the chain's likelihood
     joined = doc[1:] == doc[:-1]
@@ -157,7 +155,7 @@ def train(rows: list[tuple[str, int]], markers: np.ndarray, epochs: int = 25, ra
     for k in range(_KINDS):
         use |= np.bincount(feats[gold, k], minlength=1 << BITS) >= 2
     for _ in range(epochs):
-        unary = weights[feats].sum(axis=1) + bias
+        unary = _unary(weights, bias, feats)
         error = _forward_backward(unary, sizes, trans) - gold
         grad = np.zeros(1 << BITS)
         for k in range(_KINDS):
@@ -166,28 +164,55 @@ def train(rows: list[tuple[str, int]], markers: np.ndarray, epochs: int = 25, ra
         square += grad * grad
         weights -= rate * grad / np.sqrt(square)
         bias -= rate * 0.1 * np.sign(error.sum()) * min(1.0, abs(error.sum()) / max(1, gold.sum()))
-    unary = weights[feats].sum(axis=1) + bias
+    unary = _unary(weights, bias, feats)
     docs = _document_features(_forward_backward(unary, sizes, trans), doc, len(rows))
     return Model(weights, bias, trans, _logistic(docs, labels))
 
 
-def _tag(unit: np.ndarray, doc: np.ndarray, labels: np.ndarray, markers: np.ndarray, least: int = 3) -> np.ndarray:
-    """Tokens taken as toxic: of the markers, greedily those that explain most toxic documents not yet explained."""
-    toxic = labels[doc] == 1
-    rows, cols = np.nonzero(np.isin(unit, markers) & toxic[:, None])
-    unit_at, doc_at = unit[rows, cols], doc[rows]
+def _tagged(rows: list[tuple[str, int]], labels: np.ndarray, markers: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, text number, toxic or not) of all tokens. Texts are taken a piece at a time: only the features are kept of all."""
+    feats, docs, hits, at, tokens_before = [], [], [], 0, 0
+    while at < len(rows):
+        to, size = at, 0
+        while to < len(rows) and (to == at or size < piece):
+            size += len(rows[to][0])
+            to += 1
+        data, starts, ends, doc = tokens(pa.array([t for t, _ in rows[at:to]], pa.large_string()))
+        feats.append(features(data, starts, ends, doc))
+        docs.append(doc + at)
+        if len(starts):
+            u = units(data, starts, ends)
+            r, c = np.nonzero(np.isin(u, markers) & (labels[docs[-1]] == 1)[:, None])
+            hits.append(np.stack([r + tokens_before, docs[-1][r], u[r, c]]))
+        tokens_before += len(starts)
+        at = to
+    gold = np.zeros(tokens_before, dtype=bool)
+    token, doc, unit = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), dtype=np.int64)
+    gold[token[np.isin(unit, _cover(unit, doc))]] = True
+    return np.concatenate(feats), np.concatenate(docs), gold
+
+
+def _cover(unit: np.ndarray, doc: np.ndarray, least: int = 3) -> np.ndarray:
+    """Of the units found, greedily those that explain most documents not yet explained."""
     chosen: list[int] = []
-    while len(unit_at):
-        order = np.lexsort((doc_at, unit_at))
-        u, d = unit_at[order], doc_at[order]
-        fresh_pair = np.concatenate(([True], (u[1:] != u[:-1]) | (d[1:] != d[:-1])))
-        keys, gain = np.unique(u[fresh_pair], return_counts=True)
+    while len(unit):
+        order = np.lexsort((doc, unit))
+        u, d = unit[order], doc[order]
+        once = np.concatenate(([True], (u[1:] != u[:-1]) | (d[1:] != d[:-1])))
+        keys, gain = np.unique(u[once], return_counts=True)
         if gain.max() < least:
             break
         chosen.append(keys[gain.argmax()])
-        left = ~np.isin(doc_at, np.unique(doc_at[unit_at == chosen[-1]]))
-        unit_at, doc_at = unit_at[left], doc_at[left]
-    return toxic & np.isin(unit, np.array(chosen, dtype=np.int64)).any(axis=1)
+        left = ~np.isin(doc, np.unique(doc[unit == chosen[-1]]))
+        unit, doc = unit[left], doc[left]
+    return np.array(chosen, dtype=np.int64)
+
+
+def _unary(model_weights: np.ndarray, bias: float, feats: np.ndarray) -> np.ndarray:
+    out = np.full(len(feats), bias)
+    for k in range(_KINDS):
+        out += model_weights[feats[:, k]]
+    return out
 
 
 def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -267,7 +292,7 @@ def marginals(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     """(marginal, start, end, text number) of each token; offsets in bytes of the joined texts."""
     data, starts, ends, doc = tokens(column)
     feats = features(data, starts, ends, doc)
-    unary = model.weights[feats].sum(axis=1) + model.bias
+    unary = _unary(model.weights, model.bias, feats)
     return _forward_backward(unary, np.bincount(doc, minlength=len(column)), model.trans), starts, ends, doc
 
 
