@@ -10,29 +10,52 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, mixing, sharding, simhash, toxicity
-from quire.llm.common import shared_dir, table
+from quire.llm.common import WRITTEN, remove, shared_dir, table
 
+#: What the stage before wrote on its way; its output has been written and read again since, so it can go.
+_LEFT: list[str] = []
 
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(work)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, [p for p in _LEFT if p in WRITTEN])
+        _LEFT.clear()
+        mark = len(WRITTEN)
+        out = work(spark, docs, sf_dir)
+        _LEFT.extend(WRITTEN[mark:])
+        return out
+
+    return run_one
+
+
+@_stage
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+@_stage
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.materialize(docs)
 
 
+@_stage
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 

@@ -31,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders that this process wrote below the shared one, oldest first.
+WRITTEN: list[str] = []
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{label}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +55,14 @@ def drop_saved(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``WRITTEN`` that nothing reads any more; those gone already don't matter."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        WRITTEN.remove(name)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once per row: a lambda variable is never inlined and recomputed by the optimizer."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import fresh, shared_dir
+from quire.llm.common import WRITTEN, fresh, shared_dir
 
 TARGET_BYTES, FAN_IN, TIER_BASE, ARRIVALS = 64 << 20, 4, 1 << 20, 4
 
@@ -198,7 +198,9 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", target_bytes
     table gives an empty version. Columns that clash with the store's own are kept.
     """
     spark = docs.sparkSession
-    store = ShardStore(spark, f"{shared_dir(spark)}/quire/store-{uuid.uuid4().hex}", target_bytes, fan_in)
+    path = f"{shared_dir(spark)}/quire/store-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    store = ShardStore(spark, path, target_bytes, fan_in)
     digit = F.conv(F.substring(F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))), 1, 1), 16, 10).cast("int")
     store.append(docs, key, text, (digit * arrivals / 16).cast("int"), arrivals)
     store.compact(final=True)
