@@ -144,16 +144,16 @@ def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Best labels of consecutive sequences of the given sizes; all sequences advance together."""
     n, k = scores.shape
-    labels = np.zeros(n, dtype=np.int8)
+    labels = np.zeros(n, dtype=np.int16)
     if not n or k < 2:
         return labels
     order = np.argsort(-sizes, kind="stable")
     begin = (np.cumsum(sizes) - sizes)[order]
     left = sizes[order]
-    back = np.zeros((n, k), dtype=np.int8)
+    back = np.zeros((n, k), dtype=np.int16)
     alive = int((left > 0).sum())
     state = scores[begin[:alive]].astype(np.float64)
-    own = np.arange(k, dtype=np.int8)
+    own = np.arange(k, dtype=np.int16)
     for t in range(1, int(left[0]) if alive else 0):
         alive = int(np.searchsorted(-left, -t, side="left"))
         state = state[:alive] if len(state) == alive else _finish(state, alive, labels, begin, left, t)

@@ -38,6 +38,12 @@ def test_viterbi_against_one_sequence_at_a_time():
         at += n
 
 
+def test_viterbi_with_more_languages_than_a_byte_holds():
+    scores = np.zeros((6, 300))
+    scores[np.arange(6), [299, 299, 128, 128, 128, 200]] = 9
+    assert L.viterbi(scores, np.array([5, 1]), 2.0).tolist() == [299, 299, 128, 128, 128, 200]
+
+
 def test_mixed_text_is_labelled_in_spans():
     model = L.train([("aa", "kalo mano telo rano " * 200), ("bb", "wusch pfung dritz schur " * 200), ("ru", "привет как дела мир " * 100)])
     text = "kalo telo mano rano kalo mano wusch pfung schur dritz wusch pfung привет мир"
