@@ -5,16 +5,20 @@ anchor stands for each window of 100 bytes: the 32-byte gram of least hash insid
 Equal windows have equal anchors at the same place, so a window whose anchor's gram is
 nowhere else in the corpus is unique, and most are. What is left are segments: an
 anchor with all windows that it stands for. Segments that are equal as a whole
-are again settled by a join, whatever their number. Only segments that share
-an anchor but differ go to the suffix machinery: a task cuts them into shards,
+(128 bits of hash) are again settled by a join, whatever their number. Segments that share
+an anchor but differ are looked at more closely: the windows of a segment fall into
+``CLASSES`` by the place of the anchor in them, and the windows of a class have 83 bytes or more
+in common. A class whose common bytes no other segment has holds no repeated window and goes.
+
+What then is left goes to the suffix machinery: a task cuts it into shards,
 sorts the suffixes of each shard alone, takes its transform, and merges all
 transforms by refining an interleave. Round h orders all suffixes by h bytes with one
-stable counting pass over the transforms' symbols; the blocks of suffixes that still
-agree after round 100 are the repeated windows. Suffixes of different shards are
-never compared or sorted again.
+stable counting pass over the transforms' symbols; suffixes of one block after round h have a
+common prefix of h bytes, and the blocks that still hold several after round 100 are the repeated
+intervals. Suffixes of different shards are never compared or sorted again.
 
 A gram with very many different contexts does not gather in a task: its windows are dealt
-out one by one, by their own hash.
+out one by one, by their own bytes, and equal ones are summed before they are dealt.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from quire.llm.kernels import Powers, RangeHash, mix, slices, text_bytes
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of one shard whose suffixes are sorted alone, and of the shards that one merge takes.
-SHARD, MERGE = 1 << 18, 2 << 20
+SHARD, MERGE = 1 << 15, 1 << 18
+#: First and last place of the anchor in the windows of a class.
+CLASSES = ((0, 17), (18, 34), (35, 51), (52, SPAN - 1))
 #: Grams with more different segments than this are dealt out window by window.
 HEAVY = 4000
 _POWERS = Powers()
@@ -209,22 +215,18 @@ def repeats(texts: list[bytes], rank: np.ndarray, shard_bytes: int = SHARD) -> t
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the documents; those of a heavy gram as single windows, each under a key of its own."""
+    """The wanted segments of the documents with their bytes."""
+    names = ["gram", "at", "l", "r"]
     for b in slices(batches, "text", 2 << 20):
-        keys, uids, orders, starts, parts = [], [], [], [], []
+        wanted = b.column("wanted")
+        many = np.diff(wanted.offsets.to_numpy())
+        flat = wanted.flatten()
+        at, l, r = (flat.field(k).to_numpy() for k in names[1:])
         texts = b.column("text").cast(pa.binary()).to_pylist()
-        for text, uid, order, wanted in zip(texts, b.column("uid").to_pylist(), b.column("ord").to_pylist(), b.column("wanted").to_pylist()):
-            for w in wanted:
-                first, last = w["at"] - w["l"], w["at"] - w["r"]
-                todo = [(w["gram"], first, last)]
-                if w["heavy"]:
-                    raw = np.frombuffer(text[first : last + LENGTH], dtype=np.uint8)
-                    h = RangeHash(_BYTES[raw], _POWERS)
-                    p = np.arange(last - first + 1)
-                    todo = [(k, first + i, first + i) for i, k in enumerate(h(p, p + LENGTH).view(np.int64).tolist())]
-                for key, a, z in todo:
-                    keys.append(key), uids.append(uid), orders.append(order), starts.append(a), parts.append(text[a : z + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(uids, pa.int64()), pa.array(orders, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["key", "uid", "ord", "start", "part"])
+        own = np.repeat(np.arange(b.num_rows), many)
+        parts = [texts[i][s:e] for i, s, e in zip(own.tolist(), (at - l).tolist(), (at - r + LENGTH).tolist())]
+        cols = [flat.field(k) for k in names] + [b.column(k).take(pa.array(own)) for k in ("uid", "ord")] + [pa.array(parts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*names, "uid", "ord", "part"])
 
 
 def _runs(uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,16 +306,40 @@ def removed_runs(texts: DataFrame, buckets: str) -> DataFrame:
     again = rows.join(kinds.where("n > 1").select("gram", "segment", F.col("first.uid").alias("fu"), F.col("first.at").alias("fa")), ["gram", "segment"]).where("uid <> fu or at <> fa")
     whole = again.select("uid", (F.col("at") - F.col("l")).cast("long").alias("s"), (F.col("at") - F.col("r") + LENGTH).cast("long").alias("e"))
     whole = save(whole, "repeated-segments")
-    groups = save(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", (F.col("k") > HEAVY).alias("heavy")), "mixed-grams")
-    mixed = kinds.join(groups, "gram").select(F.col("first.uid").alias("uid"), F.struct("gram", "first.at", "first.l", "first.r", "heavy").alias("w"))
+    groups = save(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "mixed-grams")
+    mixed = kinds.join(groups, "gram").select(F.col("first.uid").alias("uid"), F.struct("gram", "first.at", "first.l", "first.r").alias("w"))
     wanted = mixed.groupBy("uid").agg(F.collect_list("w").alias("wanted"))  # no more than a text has anchors
-    parts = spark.table(buckets).join(wanted, "uid").select("uid", "ord", "text", "wanted").mapInArrow(_cut, "key long, uid long, ord long, start long, part binary")
-    found = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_find, "uid long, s long, e long")
-    out = whole.unionByName(save(found, "repeated-windows"))
+    parts = spark.table(buckets).join(wanted, "uid").select("uid", "ord", "text", "wanted").mapInArrow(_cut, "gram long, at int, l byte, r byte, uid long, ord long, part binary")
+    parts = save(parts, "segment-bytes")
+    out = whole.unionByName(_equal_windows(_common(parts)))
     release(spark)
     return out
 
 
+def _common(parts: DataFrame) -> DataFrame:
+    """(gram, uid, ord, start, part): of each segment what spans the classes of windows whose common bytes another segment has too."""
+    classes = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in CLASSES]), lambda c: (F.col("r") <= c["e"]) & (F.col("l") >= c["s"]))
+    each = parts.select("gram", "uid", "at", "l", "part", F.explode(classes).alias("c"))
+    same = F.substring("part", F.col("l") - F.col("c.s") + 1, F.lit(LENGTH) - F.col("c.e") + F.col("c.s"))
+    keys = save(each.select("uid", "at", "c.s", "c.e", F.xxhash64("gram", "c.s", same).alias("key"), F.col("gram")), "class-keys")
+    often = keys.groupBy("gram", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "key")
+    kept = keys.join(often, ["gram", "key"]).groupBy("uid", "at").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    cut = parts.join(kept, ["uid", "at"]).withColumns({"hi": F.least("l", "e").cast("int"), "lo": F.greatest("r", "s").cast("int")})
+    return save(cut.select("gram", "uid", "ord", (F.col("at") - F.col("hi")).cast("long").alias("start"), F.substring("part", F.col("l") - F.col("hi") + 1, F.col("hi") - F.col("lo") + LENGTH).alias("part")), "common-parts")
+
+
+def _equal_windows(parts: DataFrame) -> DataFrame:
+    """(uid, s, e): windows of the parts that a part of the same gram holds earlier, in runs."""
+    heavy = save(parts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HEAVY).select("gram"), "heavy-grams")
+    light = parts.join(heavy, "gram", "left_anti").withColumnRenamed("gram", "key")
+    found = save(light.repartition("key").sortWithinPartitions("key").mapInArrow(_find, "uid long, s long, e long"), "repeated-windows")
+    windows = parts.join(heavy, "gram").select("uid", "ord", "start", "part", F.explode(F.sequence(F.lit(0), F.octet_length("part") - LENGTH)).alias("i"))
+    windows = windows.select("ord", "uid", (F.col("start") + F.col("i")).alias("s"), F.substring("part", F.col("i") + 1, F.lit(LENGTH)).alias("window"))
+    firsts = windows.groupBy("window").agg(F.min(F.struct("ord", "uid", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "f")
+    again = windows.join(firsts, "window").where("uid <> f.uid or s <> f.s").select("uid", "s", (F.col("s") + LENGTH).alias("e"))
+    return found.unionByName(save(again, "windows-of-heavy-grams"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``.
 
