@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words for size and shingle purposes: ASCII white space.
@@ -21,25 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a notebook on one machine) a
-    fresh folder under /tmp/checkpoints is chosen and recorded in the session.
+    Only where the session leaves it unset and runs on this machine alone (tests, a notebook) a
+    fresh folder under /tmp/checkpoints is chosen and recorded in the session; a cluster has to name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file:///tmp/checkpoints/quire-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-#: Folders that this process wrote below the shared one, oldest first.
-WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Folders that this thread wrote below the shared one, oldest first."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
+
+
+def written() -> list[str]:
+    return _WRITTEN.paths
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{label}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    written().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,11 +69,27 @@ def drop_saved(*frames: DataFrame) -> None:
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Delete folders of ``WRITTEN`` that nothing reads any more; those gone already don't matter."""
+    """Delete folders of ``written()`` that nothing reads any more; those gone already don't matter."""
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        WRITTEN.remove(name)
+        written().remove(name)
+
+
+def sample_texts(texts: DataFrame, key: str, most: int, most_bytes: int) -> DataFrame:
+    """(key, text): of the different texts of each key those of the smallest hashes, at most ``most`` and ``most_bytes`` of them.
+
+    Whole texts; those longer than a fortieth of ``most_bytes`` are left out. Keys, hashes and sizes are chosen first, from about
+    four times as many rows as are wanted of each key, then the texts are fetched: none is sorted or sent anywhere before."""
+    rows = texts.where(F.col(key).isNotNull() & (F.octet_length("text") <= most_bytes // 40)).select(key, "text", F.xxhash64("text").alias("h"))
+    slim = save(rows.groupBy(key, "h").agg(F.min(F.octet_length("text")).alias("size")), "sample-hashes")
+    share = slim.groupBy(key).agg((4.0 * most / F.count(F.lit(1))).alias("share"))
+    near = slim.join(share, key).where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    ahead = Window.partitionBy(key).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    best = near.withColumns({"r": F.count(F.lit(1)).over(ahead), "b": F.sum("size").over(ahead)}).where((F.col("r") <= most) & (F.col("b") <= most_bytes))
+    best = save(best.select(key, "h"), "sample")
+    small = F.broadcast(best) if best.count() <= 200_000 else best
+    return rows.join(small, [key, "h"]).groupBy(key, "h").agg(F.min("text").alias("text")).select(key, "text")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,8 @@ once written, ``manifest/v<N>.json`` lists the runs of version N. Arrivals are
 appended as runs of small shards. When ``fan_in`` runs share a size tier they are
 merged into one run of target-sized shards. Each version is published by a rename
 that fails when the name exists, so a reader sees a whole version or none, and of
-two writers of one version exactly one wins and the other tries again on top.
+two writers of one version exactly one wins and the other tries again on top. (That rename is atomic on HDFS and local disks; an
+object store needs a file system whose rename is, or a commit service.)
 
 Rows find their shard without a global sort: their key (MD5 of the id) names one
 of 65536 ranges; the bytes ahead of a range plus the key's share of the range's
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import WRITTEN, fresh, shared_dir
+from quire.llm.common import fresh, shared_dir, written
 
 TARGET_BYTES, FAN_IN, TIER_BASE, ARRIVALS = 64 << 20, 4, 1 << 20, 4
 
@@ -157,16 +159,20 @@ class ShardStore:
         placed = placed.withColumn(shard, F.floor(exact / F.lit(self.target)).cast("long")).drop(at, own, range_)
         count = max(1, math.ceil(sum(r.size for r in runs) / self.target))
         root = f"runs/{uuid.uuid4().hex}"
-        placed.repartition(count, shard).write.partitionBy(shard).option("compression", "zstd").parquet(f"{self.path}/{root}")
+        # each shard is one task's: shard i goes to partition i
+        placed.repartitionById(count, F.col(shard).cast("int")).write.partitionBy(shard).option("compression", "zstd").parquet(f"{self.path}/{root}")
         merged = Run(f"{root}/0", sum(r.size for r in runs), sum(r.rows for r in runs), self._files(root))
         return self._commit([merged], {r.name for r in runs}, None)
 
     def vacuum(self) -> None:
-        """Delete files that no run of the newest version lists; older versions can't be read any more."""
+        """Delete files that older versions list and the newest doesn't; older versions can't be read any more. Files that no
+        version lists are left: they may belong to a writer that has not committed yet."""
         live = {f for r in self.manifest()["runs"] for f in r["files"]}
-        for f in self._files("runs"):
-            if f not in live:
-                self._fs.delete(self._p(f"{self.path}/{f}"), False)
+        if not self.versions():
+            return
+        old = self.spark.read.option("wholetext", True).option("pathGlobFilter", "v*.json").text(f"{self.path}/manifest").collect()  # a row a version
+        for f in {f for v in old for r in json.loads(v[0])["runs"] for f in r["files"]} - live:
+            self._fs.delete(self._p(f"{self.path}/{f}"), False)
 
     # -- reading ----------------------------------------------------------------------------------
 
@@ -184,8 +190,15 @@ class ShardStore:
         rows = self._rows([f for r in now["runs"] for f in r["files"]], now["schema"])
         names = now["schema"]["names"]
         stored = any(r["files"] for r in now["runs"])
-        number = F.regexp_extract(F.col("_metadata.file_path") if stored else F.lit(""), r"shard=(\d+)/[^/]*$", 1)
-        rows = rows.withColumn(shard_name, F.coalesce(F.nullif(number, F.lit("")).cast("long"), F.lit(-1)).cast("long"))
+        path = F.col("_metadata.file_path") if stored else F.lit("")
+        number = F.nullif(F.regexp_extract(path, r"shard=(\d+)/[^/]*$", 1), F.lit("")).cast("long")
+        ahead, first = F.lit(0), 0  # the shards of a merged run are numbered after those of the runs before it
+        for r in now["runs"]:
+            mine = [int(m[1]) for f in r["files"] if (m := re.search(r"shard=(\d+)/[^/]*$", f))]
+            if mine:
+                ahead = F.when(F.contains(path, F.lit(f"/{r['name'].rpartition('/')[0]}/")), first).otherwise(ahead) if first else ahead
+                first += max(mine) + 1
+        rows = rows.withColumn(shard_name, F.coalesce(number + ahead, F.lit(-1)).cast("long"))
         own = [c for c in rows.columns if c not in (names["shard_key"], names["shard_bytes"], shard_name)]
         return rows.select(*[F.col(f"`{c}`") for c in own], shard_name, F.col(names["shard_bytes"]).alias("shard_row_bytes"))
 
@@ -199,7 +212,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", target_bytes
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/quire/store-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    written().append(path)
     store = ShardStore(spark, path, target_bytes, fan_in)
     digit = F.conv(F.substring(F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))), 1, 1), 16, 10).cast("int")
     store.append(docs, key, text, (digit * arrivals / 16).cast("int"), arrivals)
