@@ -11,7 +11,7 @@ offsets, and their greatest and their sum give, through a logistic fit, the
 document's score.
 
 Training uses at most ``SAMPLE`` documents of each label and ``SAMPLE_BYTES`` of
-their text (whole texts, chosen by hash); the counts cover all labelled rows.
+their text (different whole texts, chosen by hash); the counts cover all labelled rows.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import fresh, save
+from quire.llm.common import fresh, sample_texts, save
 from quire.llm.kernels import Powers, RangeHash, mix, slices, spans, text_bytes
 from quire.llm.language import fold, held_out, letters
 
@@ -35,6 +36,9 @@ MARKERS = 20_000
 BITS, THRESHOLD = 20, 0.3
 #: A unit needs this many toxic documents, and this share of them, to be a marker; so there are never very many.
 LEAST_DOCS, LEAST_SHARE = 5, 5e-4
+#: A unit marks tokens if this share of the documents that hold it is toxic, or, as clean texts may hold it once where toxic
+#: ones repeat it, this share of its occurrences (at most MOST_HITS a document) and MANY_DOCS toxic documents hold it.
+SHARE, HIT_SHARE, MANY_DOCS, MOST_HITS = 0.85, 0.75, 10, 8
 #: Bits of the map of such units that filters the words of clean documents: 512 KB, whatever the input.
 MAP_BITS = 22
 #: Label tables of at most so many rows are broadcast to the texts; for larger ones the texts are shuffled.
@@ -106,17 +110,20 @@ def _forward_backward(unary: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -
 
 
 def _document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Log-odds of the greatest marginal, log of the sum of marginals, constant."""
-    out = np.zeros((n, 3))
-    out[:, 0], out[:, 1], out[:, 2] = -14.0, np.log(1e-6), 1.0
+    """Log-odds of the greatest marginal; logs of the sum of marginals, of that sum without the greatest, and of the sum a token; constant."""
+    out = np.zeros((n, 5))
+    out[:] = -14.0, np.log(1e-6), np.log(1e-3), np.log(1e-6), 1.0
     if len(p):
         top = np.zeros(n)
         np.maximum.at(top, doc, p)
-        total = np.bincount(doc, weights=p, minlength=n)
-        has = np.bincount(doc, minlength=n) > 0
+        total, size = np.bincount(doc, weights=p, minlength=n), np.bincount(doc, minlength=n)
+        has = size > 0
+        rest = np.log(1e-3 + np.maximum(total - top, 0))
         top = np.clip(top, 1e-6, 1 - 1e-6)
         out[has, 0] = np.log(top[has] / (1 - top[has]))
         out[has, 1] = np.log(np.maximum(total[has], 1e-6))
+        out[has, 2] = rest[has]
+        out[has, 3] = np.log(np.maximum(total[has] / size[has], 1e-6))
     return out
 
 
@@ -134,10 +141,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
     return w
 
 
-def train(rows: list[tuple[str, int]], markers: np.ndarray, epochs: int = 25, rate: float = 0.6) -> Model:
-    """``rows``: (text, label); ``markers``: hashes of words and beginnings that mark a token of a toxic document."""
+def train(rows: list[tuple[str, int]], markers: np.ndarray, epochs: int = 25, rate: float = 0.6, odds: float | None = None) -> Model:
+    """``rows``: (text, label); ``markers``: hashes of words and beginnings that mark a token of a toxic document; ``odds``: toxic
+    documents for each clean one where the rows are drawn from, if not those of the rows."""
     weights, bias, trans = np.zeros(1 << BITS), -4.0, np.log(np.array([[0.97, 0.03], [0.6, 0.4]]))
-    plain = Model(weights, bias, trans, np.array([0.0, 0.0, -20.0]))
+    plain = Model(weights, bias, trans, np.array([0.0, 0.0, 0.0, 0.0, -20.0]))
     labels = np.array([label for _, label in rows], dtype=int)
     if len(set(labels.tolist())) < 2 or not len(markers):
         return plain
@@ -166,7 +174,10 @@ def train(rows: list[tuple[str, int]], markers: np.ndarray, epochs: int = 25, ra
         bias -= rate * 0.1 * np.sign(error.sum()) * min(1.0, abs(error.sum()) / max(1, gold.sum()))
     unary = _unary(weights, bias, feats)
     docs = _document_features(_forward_backward(unary, sizes, trans), doc, len(rows))
-    return Model(weights, bias, trans, _logistic(docs, labels))
+    readout = _logistic(docs, labels)
+    if odds is not None:  # the rows hold the labels in another proportion: the constant moves by as much
+        readout[-1] += np.log(odds) - np.log(labels.sum() / (len(labels) - labels.sum()))
+    return Model(weights, bias, trans, readout)
 
 
 def _tagged(rows: list[tuple[str, int]], labels: np.ndarray, markers: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,13 +238,16 @@ def _cells(unit: np.ndarray) -> np.ndarray:
 
 
 def _count_units(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Documents that hold a unit (of those ``wanted`` may want): summed for each batch before they are shuffled."""
+    """Documents that hold a unit (of those ``wanted`` may want) and its occurrences in them: summed for each batch before they are shuffled."""
     for b in slices(batches, "text", 1 << 20):
         data, starts, ends, doc = tokens(b.column("text"))
         if not len(starts):
             continue
         u = units(data, starts, ends)
-        flat, owner = u.reshape(-1), np.repeat(doc, u.shape[1])
+        own = np.ones(u.shape, dtype=bool)  # the units of a word that is no longer than its beginnings are one unit
+        for k in range(1, u.shape[1]):
+            own[:, k] = (u[:, :k] != u[:, k : k + 1]).all(axis=1)
+        flat, owner = u[own], np.repeat(doc, own.sum(axis=1))
         if wanted is not None:
             use = wanted[_cells(flat)]
             flat, owner = flat[use], owner[use]
@@ -241,18 +255,19 @@ def _count_units(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None =
             continue
         order = np.argsort(flat, kind="stable")  # the documents of a unit stay in order
         flat, owner = flat[order], owner[order]
-        once = np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))
+        once = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))))
+        hits = np.minimum(np.diff(np.append(once, len(flat))), MOST_HITS)
         flat = flat[once]
         head = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(flat[head]), pa.array(np.diff(np.append(head, len(flat))))], names=["unit", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[head]), pa.array(np.diff(np.append(head, len(flat)))), pa.array(np.add.reduceat(hits, head))], names=["unit", "docs", "hits"])
 
 
 def find_markers(labelled: DataFrame, toxic: int, clean: int) -> np.ndarray:
     """Units that stand nearly only in toxic documents, by counts over all of ``labelled`` (text, toxic)."""
     least = max(LEAST_DOCS, int(LEAST_SHARE * toxic))
-    counted = labelled.where("toxic = 1").select("text").mapInArrow(_count_units, "unit long, docs long").groupBy("unit").agg(F.sum("docs").alias("t")).where(F.col("t") >= least)
+    spark, kinds = labelled.sparkSession, "unit long, docs long, hits long"
+    counted = labelled.where("toxic = 1").select("text").mapInArrow(_count_units, kinds).groupBy("unit").agg(F.sum("docs").alias("t"), F.sum("hits").alias("th")).where(F.col("t") >= least)
     counted = save(counted, "units-of-toxic-texts")
-    spark = labelled.sparkSession
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,11 +280,15 @@ def find_markers(labelled: DataFrame, toxic: int, clean: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _count_units(batches, np.unpackbits(shared.value).view(bool))
 
-    others = labelled.where("toxic = 0").select("text").mapInArrow(count, "unit long, docs long").groupBy("unit").agg(F.sum("docs").alias("c"))
-    both = counted.join(others, "unit", "left").select("unit", "t", (F.col("t") + F.coalesce("c", F.lit(0))).alias("d"))
-    share = (F.col("t") + 2 * toxic / (toxic + clean)) / (F.col("d") + 2.0)
-    best = both.where(share >= 0.85).orderBy(F.desc("t"), "unit").limit(MARKERS).select("unit")
-    return best.toArrow().column("unit").to_numpy()
+    others = labelled.where("toxic = 0").select("text").mapInArrow(count, kinds).groupBy("unit").agg(F.sum("docs").alias("c"), F.sum("hits").alias("ch"))
+    both = counted.join(others, "unit", "left").na.fill(0, ["c", "ch"])
+    even = 2 * toxic / (toxic + clean)
+    share = (F.col("t") + even) / (F.col("t") + F.col("c") + 2.0)
+    hit_share = (F.col("th") + even) / (F.col("th") + F.col("ch") + 2.0)
+    best = both.where((share >= SHARE) | (F.col("t") >= max(least, MANY_DOCS)) & (hit_share >= HIT_SHARE))
+    # as many as MARKERS by evidence: the log-likelihood that their documents gain over the share of all
+    gain = F.col("t") * F.log(F.greatest(share, hit_share) / (toxic / (toxic + clean)))
+    return best.orderBy(F.desc(gain), "unit").limit(MARKERS).select("unit").toArrow().column("unit").to_numpy()
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -282,10 +301,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not total.get(0) or not total.get(1):
         return train([], np.zeros(0, dtype=np.int64))
     markers = find_markers(labelled, total[1], total[0])
-    part = labelled.where(F.octet_length("text") <= SAMPLE_BYTES // 40).withColumn("h", F.xxhash64("text"))
-    best = part.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "text"))).where(F.col("r") <= SAMPLE)
-    kept = best.withColumn("b", F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("r"))).where(F.col("b") <= SAMPLE_BYTES)
-    return train([(r["text"], r["toxic"]) for r in kept.select("text", "toxic").collect()], markers)
+    rows = sample_texts(labelled, "toxic", SAMPLE, SAMPLE_BYTES).collect()
+    return train([(r["text"], r["toxic"]) for r in rows], markers, odds=total[1] / total[0])
 
 
 def marginals(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -326,8 +343,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, found = judge(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(scores), pa.array(found, pa.string())], names=[*cols, "toxic_score", "toxic_spans"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(kernel, f"{schema}, toxic_score double, toxic_spans string")
+    schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_spans", T.StringType())])
+    return docs.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(kernel, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

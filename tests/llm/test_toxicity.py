@@ -38,13 +38,14 @@ def test_held_out_quality_and_edges(spark):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     got = X.classify(docs, labels).collect()
     assert len(got) == docs.count()
-    # about half of these labels stand on texts without any offending word: no text classifier finds those
-    words = re.compile("loser|pathetic|idiot|scum|worthless|moron|clown|disgusting|trash|stupid")
-    shown = {r.doc_id for r in docs.collect() if words.search(r.text.lower())}
-    held = [r for r in got if r.held_out and r.doc_id in truth and (r.doc_id in shown or not truth[r.doc_id])]
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    held = [r for r in got if r.held_out and r.doc_id in truth]
     hit = sum(r.predicted and truth[r.doc_id] for r in held)
-    assert hit / max(1, sum(truth[r.doc_id] for r in held)) > 0.85
-    assert hit / max(1, sum(r.predicted for r in held)) > 0.9
+    assert hit / sum(truth[r.doc_id] for r in held) > 0.9  # 111 of 120 when written: 8 of 69 English ones have no cue at all
+    assert hit / sum(r.predicted for r in held) > 0.85
+    for one in ("en", "de", "fr", "es"):
+        mine = [r for r in held if lang[r.doc_id] == one and truth[r.doc_id]]
+        assert sum(r.predicted for r in mine) / len(mine) > 0.85, one
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     rows = [(None, "you idiot", 1), (1, None, 1), (1, "", 2), (2, "the and of " * 50_000, 2), (2, "the and", 3)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, toxic_score int")
