@@ -7,8 +7,8 @@ over the words of a document, with a penalty for each switch of language, labels
 spans; the language with most bytes in the labels is the document's.
 
 Training: counts of n-grams over whole texts of a sample of at most
-``SAMPLE`` documents a language, chosen by a hash of the text (texts of over a
-fortieth of ``SAMPLE_BYTES`` are not learned from). The model is a table of fixed size. Everything else covers all rows.
+``SAMPLE`` different texts and ``SAMPLE_BYTES`` a language and ``ALL_BYTES`` together, chosen by a hash of the text (texts of over a
+fortieth of a language's bytes are not learned from). The model is a table of fixed size. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import sample_texts
 from quire.llm.kernels import LOWER_TABLE, slices, spans, text_bytes
 
 #: Bound on the training sample: documents a language, and bytes of text a language.
 SAMPLE, SAMPLE_BYTES = 1500, 4_000_000
+#: Bound on the text of all languages together; with many languages each has less.
+ALL_BYTES = 64_000_000
 TABLE_BITS, ORDERS, SWITCH = 16, (1, 2, 3, 4), 6.0
 SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "thai", "hangul", "kana", "han", "other")
 _RANGES = ((0x41, 0x24F, 0), (0x1E00, 0x1EFF, 0), (0x370, 0x3FF, 1), (0x1F00, 0x1FFF, 1), (0x400, 0x52F, 2), (0x590, 0x5FF, 3), (0x600, 0x77F, 4), (0x900, 0xDFF, 5), (0xE00, 0xE7F, 6), (0x1100, 0x11FF, 7), (0xAC00, 0xD7AF, 7), (0x3040, 0x30FF, 8), (0x3400, 0x9FFF, 9), (0x20000, 0x2FFFF, 9))
@@ -203,16 +206,12 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, scores
 
 
-def sample(docs: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """Labelled texts to learn from: of each language those with the smallest hashes, whole texts, up to both bounds."""
-    from pyspark.sql import Window
-
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    size = F.octet_length("text")
-    slim = labelled.select("lang", "text", F.xxhash64("text").alias("h")).where(size <= most_bytes // 40)
-    best = slim.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= most)
-    kept = best.withColumn("b", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("r"))).where(F.col("b") <= most_bytes)
-    return [(r["lang"], r["text"]) for r in kept.select("lang", "text").collect()]
+def sample(docs: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, all_bytes: int = ALL_BYTES) -> list[tuple[str, str]]:
+    """Labelled texts to learn from: of each language different whole texts with the smallest hashes, up to all bounds."""
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    languages = labelled.agg(F.countDistinct("lang")).first()[0]
+    each = min(most_bytes, all_bytes // max(1, languages))
+    return [(r["lang"], r["text"]) for r in sample_texts(labelled, "lang", most, each).collect()]
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
