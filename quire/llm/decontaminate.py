@@ -3,14 +3,14 @@
 Winnowing keeps the minimum hash of all K-word grams inside a sliding window of
 ``window`` words. A span of ``window`` words that occurs in a document and in a
 benchmark item keeps the same minimum on both sides, so joining the kept
-fingerprints finds every such span; each hit is then extended to the full window
-and compared word by word. Items that have fewer words are one window of their
+fingerprints finds every such span; each hit is extended from its gram to the full window, which is
+compared word by word, and hits that overlap are one span. Items that have fewer words are one window of their
 own length.
 
 Plan: one pass over the documents computes words, grams and minima inside each
-row (no shuffle, no row per word). A bitmap of fixed size over the benchmark's
-fingerprints drops nearly every window before a row is generated; what is left
-carries its window as text and is joined exactly. The bitmap can only let too
+row (no shuffle, no row per word). A bitmap over the benchmark's
+fingerprints, sized by their number, drops nearly every window before a row is generated; what is left
+carries its fingerprint and its window and is joined on both: the fingerprint finds, the words decide. The bitmap can only let too
 much through, never too little.
 """
 
@@ -27,8 +27,8 @@ from quire.llm.common import LOWER, UPPER, fresh, let, save
 SEPARATORS = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum() or "A" <= chr(c) <= "Z") + "]+"
 SEPARATORS_ANY_CASE = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
 WINDOW, GRAM = 10, 4
-#: The bitmap has this many bits, whatever the size of the benchmark: 128 KB.
-BITMAP_BITS = 1 << 20
+#: Bits of the bitmap for each fingerprint of the benchmark, and their least and greatest number: 128 KB and 4 MB.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 25
 #: Benchmarks of at most so many distinct windows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
@@ -84,7 +84,7 @@ def _cell(fp: Column, bits: int) -> tuple[Column, Column]:
 
 
 def _bitmap(fps: DataFrame, bits: int) -> Column:
-    """A literal array of longs, one bit for each class of fingerprints: fixed size, so free to ship with the plan."""
+    """A literal array of longs, one bit for each class of fingerprints: at most ``MOST_BITS``, so free to ship with the plan."""
     word, bit = _cell(F.col("fp"), bits)
     rows = fps.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("v")).collect()  # at most bits / 64 rows
     longs = [0] * (bits // 64)
@@ -94,24 +94,26 @@ def _bitmap(fps: DataFrame, bits: int) -> Column:
 
 
 def _candidates(documents: DataFrame, benchmark: DataFrame, window: int, gram: int, carry: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three saved tables: (uid, *carry, n_words, cands) of the documents, (n, win, cls) and (n, win, item_id) of the benchmark."""
+    """Three saved tables: (uid, *carry, n_words, cands) of the documents, (n, fp, win, cls) and (n, fp, win, item_id) of the benchmark."""
     benchmark = benchmark.select("item_id", "text")
     short = [r["n"] for r in benchmark.select(F.size(words_of(F.col("text"))).alias("n")).where(f"n between 1 and {window - 1}").distinct().collect()]  # at most window - 1 rows
     lengths = [window, *sorted(short)]
     wins = save(benchmark_windows(benchmark, window, gram, lengths), "bench-windows")
-    bitmap = _bitmap(wins, BITMAP_BITS)
+    fps = wins.select("fp").distinct()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * fps.count()).bit_length()))
+    bitmap = _bitmap(fps, bits)
 
     def suspect(fp: Column) -> Column:
-        word, bit = _cell(fp, BITMAP_BITS)
+        word, bit = _cell(fp, bits)
         return F.getbit(F.get(bitmap, word), bit) == 1
 
     def starts(w: Column, n: int) -> Column:
-        positions = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: suspect(F.get(m, s)))
-        return let(_fingerprints(w, n, window, gram), lambda m: F.when(F.size(m) > 0, positions(m)).otherwise(F.array().cast("array<int>")))
+        spots = lambda m: F.filter(F.transform(m, lambda fp, s: F.struct(s.alias("s"), fp.alias("fp"))), lambda x: suspect(x["fp"]))
+        return let(_fingerprints(w, n, window, gram), spots)
 
     def texts(found: Column, text: Column) -> Column:
         # the words proper are made only for documents with a suspected window
-        some = let(words_of(text), lambda w: F.concat(*[F.transform(found[f"n{n}"], lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), _window_text(w, s, n).alias("win"))) for n in lengths]))
+        some = let(words_of(text), lambda w: F.concat(*[F.transform(found[f"n{n}"], lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("n"), x["fp"].alias("fp"), _window_text(w, x["s"], n).alias("win"))) for n in lengths]))
         return F.when(sum((F.size(found[f"n{n}"]) for n in lengths), F.lit(0)) > 0, some)
 
     def judge(w: Column) -> Column:
@@ -122,10 +124,10 @@ def _candidates(documents: DataFrame, benchmark: DataFrame, window: int, gram: i
     judged = save(docs.select(F.monotonically_increasing_id().alias("uid"), *carry, "x.n_words", "x.cands"), "doc-windows")
 
     # Windows that the same items have form a class, named by its smallest window: documents meet classes, not items.
-    each = wins.select("n", "win", "item_id").distinct()
-    sets = each.groupBy("n", "win").agg(F.count("item_id").alias("k"), F.sum(F.xxhash64("item_id").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("item_id"))).alias("b"))
+    each = wins.select("n", "fp", "win", "item_id").distinct()
+    sets = each.groupBy("n", "fp", "win").agg(F.count("item_id").alias("k"), F.sum(F.xxhash64("item_id").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), F.col("item_id"))).alias("b"))
     names = sets.groupBy("k", "a", "b").agg(F.min(F.struct("n", "win")).alias("cls"))
-    classed = sets.join(names, (sets.k == names.k) & sets.a.eqNullSafe(names.a) & sets.b.eqNullSafe(names.b)).select("n", "win", F.xxhash64("cls.n", "cls.win").alias("cls"))
+    classed = sets.join(names, (sets.k == names.k) & sets.a.eqNullSafe(names.a) & sets.b.eqNullSafe(names.b)).select("n", "fp", "win", F.xxhash64("cls.n", "cls.win").alias("cls"))
     classed = save(classed, "window-classes")
     return judged, classed, each
 
@@ -133,7 +135,7 @@ def _candidates(documents: DataFrame, benchmark: DataFrame, window: int, gram: i
 def _hits(judged: DataFrame, classed: DataFrame) -> DataFrame:
     """(uid, s, e, cls): occurrences of benchmark windows, words s to e."""
     small = F.broadcast(classed) if classed.count() <= BROADCAST_WINDOWS else classed
-    found = judged.select("uid", F.explode("cands").alias("c")).select("uid", "c.*").join(small, ["n", "win"])
+    found = judged.select("uid", F.explode("cands").alias("c")).select("uid", "c.*").join(small, ["n", "fp", "win"])
     return save(found.select("uid", "s", (F.col("s") + F.col("n")).alias("e"), "cls"), "window-hits")
 
 
