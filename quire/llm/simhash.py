@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import save
 from quire.llm.components import connected_components
@@ -76,8 +77,8 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with ``fp`` (long: the 64 bits) in front; null text counts as empty."""
     cols = [c for c in docs.columns if c != "fp"]
-    schema = "fp long, " + ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    source = docs.select(*cols)
+    schema = T.StructType([T.StructField("fp", T.LongType()), *[docs.schema[c] for c in cols]])
+    source = docs.select(*[F.col(f"`{c}`") for c in cols])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
@@ -254,7 +255,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     from quire.llm.common import fresh
 
     row, uid = fresh("row", docs), fresh("uid", docs)
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias(row))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
     made = fingerprints(packed).select("fp", "doc_id", row).withColumn(uid, F.monotonically_increasing_id())
     made = save(made, "rows-with-fingerprints")
     nodes = components(made.select("fp", "doc_id"))
@@ -262,4 +263,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     per_fp = made.groupBy("fp").agg(F.min(rank).alias("best"))
     roots = per_fp.join(nodes, "fp").groupBy("root").agg(F.min("best").alias("best"))
     kept = save(roots.select(F.col("best.u").alias(uid)), "kept-rows")
-    return made.join(kept, uid, "left_semi").select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
+    # one plan at every size: the rows are dealt by uid, the kept uids of a partition are a hash table
+    return made.join(kept.hint("shuffle_hash"), uid, "left_semi").select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
