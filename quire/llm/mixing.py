@@ -82,7 +82,7 @@ def materialize(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     where the budget cuts through a document its first words come once more, single-spaced. Documents that get no word go,
     those without any word stay once (they cost nothing)."""
     cols, row = docs.columns, fresh("row", docs)
-    taken = mix(docs.select("doc_id", "text", "source", F.struct(*cols).alias(row)), weights, share, max_epochs, keep=(row,))
+    taken = mix(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in cols]).alias(row)), weights, share, max_epochs, keep=(row,))
     size, left = F.col("size"), F.col("taken") - F.floor(F.col("taken") / F.greatest("size", F.lit(1))) * F.col("size")
     whole = F.when(size == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
     parts = F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when((size > 0) & (left > 0), F.array(left)).otherwise(F.array().cast("array<bigint>")))

@@ -48,7 +48,14 @@ class Codes:
         return np.packbits((unit - self.mean) @ self.rotation > 0, axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over the power of two at their greatest component: cosines stay exactly what they are, and no square overflows or vanishes."""
+    top = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1]
+    return np.ldexp(x, -top)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -113,6 +120,7 @@ class Index:
 
 def search_block(codes: Codes, ids: np.ndarray, x: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of the ``most`` best classes found for each query; equal scores: smaller id first."""
+    x, queries = scaled(x), scaled(queries)
     norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     index, qcodes = Index(codes.encode(unit(x))), codes.encode(unit(queries))
     found: tuple[list, list, list] = ([], [], [])

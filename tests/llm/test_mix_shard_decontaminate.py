@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, mixing, sharding
-from quire.llm.sharding import ShardStore
+from quire.llm.sharding import Run, ShardStore
 
 DATA = "/root/testdata/sf0.001"
 
@@ -102,6 +102,31 @@ def test_store_versions_and_tiers(spark, tmp_path):
     assert re.fullmatch(r"v5\.json", max(p.name for p in (tmp_path / "store/manifest").iterdir() if p.name.endswith("json")))
 
 
+def test_shards_of_a_small_target_against_sql(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sharding.shard(docs, target_bytes=1 << 15)
+    mine = rows.select("doc_id", F.col("shard_row_bytes").alias("n_bytes"), "shard_id", F.md5("text").alias("text_md5")).collect()
+    assert len({r.shard_id for r in mine}) > 5
+    same(mine, sharding.SQL.replace("67108864", str(1 << 15)), documents=docs)
+
+
+def test_vacuum_spares_what_is_not_committed_and_runs_share_no_shard(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    store = ShardStore(spark, f"file://{tmp_path}/store", target_bytes=50_000, fan_in=2)
+    third = lambda i: docs.where(F.pmod("doc_id", F.lit(3)) == i)
+    store.append(third(0), "doc_id", "text")
+    store.compact(final=True)
+    third(1).write.parquet(f"file://{tmp_path}/store/runs/other/arrival=0")  # of a writer that has not committed
+    store.vacuum()
+    assert list((tmp_path / "store/runs/other/arrival=0").glob("*.parquet")) and store.read().count() == third(0).count()
+    other = ShardStore(spark, f"file://{tmp_path}/other", target_bytes=50_000, fan_in=9)
+    for i in (0, 1):
+        other.append(third(i), "doc_id", "text")
+        other._merge([Run(**r) for r in other.manifest()["runs"] if "shard=" not in r["files"][0]])
+    sizes = [r["n"] for r in other.read().withColumn("f", F.input_file_name()).groupBy("shard_id").agg(F.countDistinct(F.regexp_extract("f", "runs/([0-9a-f]+)/", 1)).alias("n")).collect()]
+    assert len(other.manifest()["runs"]) == 2 and set(sizes) == {1}
+
+
 def test_sharding(spark):
     docs, _ = odd(spark)
     clash = docs.withColumn("shard", F.lit("x")).withColumn("arrival", F.lit("y"))

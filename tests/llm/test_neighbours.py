@@ -45,6 +45,18 @@ def test_recall_against_brute_force(spark, sf):
         assert all(abs(s - exact[v]) < 1e-12 for v, s in got[q].values() if v in exact)
 
 
+def test_great_and_small_components_and_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(c) for c in (centres[i % 12] + 0.1 * rng.normal(size=16)) * 10.0 ** rng.integers(-200, 200)]) for i in range(1500)]
+    want = brute([(i, [c / max(map(abs, v)) for c in v]) for i, v in rows])
+    got = {}
+    for r in N.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        assert abs(r.score) <= 1 + 1e-12
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values())) >= 0.9
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, -0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (100, [1.0, 2.0, 3.0]), (10, [3.0, 2.0, 1.0])]
     rows += [(1000 + i * 7, [1.0, 1.0]) for i in range(40)]

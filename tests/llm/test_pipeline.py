@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.llm.test_simhash import brute
 
 import corpus_pipeline
@@ -48,7 +49,7 @@ def test_stages_against_brute_force(spark):
 
 def test_stages_pass_odd_rows(spark):
     rows = [(None, "lonely words stay here", None, "en", 3, 9), (1, None, "a", None, None, 9), (1, "", "a", "en", 0, 9), (2, "x y z " * 20_000, "b", "fr", 1, 9), (2, "x y z " * 20_000, "b", "fr", 1, 9), (3, "one two three four", "b", "de", 4, 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, `shard.key` int").withColumnsRenamed({"shard.key": "uid"})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, `shard.key` int").withColumn("uid", F.lit(7))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         assert out.columns[: len(docs.columns)] == docs.columns, name
