@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -16,20 +17,28 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, mixing, sharding, simhash, toxicity
-from quire.llm.common import WRITTEN, remove, shared_dir, table
+from quire.llm.common import remove, shared_dir, table, written
 
-#: What the stage before wrote on its way; its output has been written and read again since, so it can go.
-_LEFT: list[str] = []
+
+class _Left(threading.local):
+    """What the stage before wrote on its way, in this thread; its output has been written and read again since, so it can go.
+
+    The stages of a run are called in their order, in one thread; a run in another thread has its own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_LEFT = _Left()
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(work)
     def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, [p for p in _LEFT if p in WRITTEN])
-        _LEFT.clear()
-        mark = len(WRITTEN)
+        remove(spark, [p for p in _LEFT.paths if p in written()])
+        mark = len(written())
         out = work(spark, docs, sf_dir)
-        _LEFT.extend(WRITTEN[mark:])
+        _LEFT.paths = written()[mark:]
         return out
 
     return run_one
