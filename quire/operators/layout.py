@@ -100,42 +100,62 @@ def mcid_numbers(spans: DataFrame, page: str = "page", first: str = "first", las
 # -- greedy steps, one page at a time -------------------------------------------------------------
 
 
+#: In line heights: how far a baseline may leave a line's first one, the widest gap in a line, and between lines of a block.
+BASELINE, COLUMN_GAP, BLOCK_GAP = 0.5, 3.0, 1.35
+
+
 def cluster_page(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines anchored to their first baseline, cut at wide gaps; blocks grow to the nearest line that overlaps; reading order.
+    """Lines, blocks and their reading order of one page of runs.
+
+    Runs within half the height of a cluster's members from its first baseline form a cluster, which is cut from left to
+    right where a gap is too wide. A line joins the nearest block that it overlaps and that is close enough to it, by the smaller
+    of both heights. Of blocks side by side the left one reads first, else the upper one.
 
     ``page``: doc_id, page, seq, x, y, w, h. Adds ``line``, ``block``, ``order``."""
     rows = page.sort_values(["y", "x", "seq"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    line, anchor, tall, right = -1, None, 0.0, 0.0
-    ids = np.zeros(len(rows), dtype=np.int64)
-    boxes: list[list[float]] = []
-    for i, r in enumerate(rows.itertuples()):
-        same = anchor is not None and abs(r.y - anchor) <= 0.5 * max(tall, r.h)
-        if not same or r.x - right > 3.0 * max(tall, r.h):
-            line, anchor, tall = line + 1, r.y if not same else anchor, r.h
-            boxes.append([r.x, r.y, r.x + r.w, r.y + r.h])
-        ids[i], tall, right = line, max(tall, r.h), r.x + r.w
-        b = boxes[line]
-        boxes[line] = [min(b[0], r.x), min(b[1], r.y), max(b[2], r.x + r.w), max(b[3], r.y + r.h)]
-    blocks: list[list[float]] = []
-    block_of = np.zeros(len(boxes), dtype=np.int64)
-    for i, b in enumerate(boxes):
-        high = b[3] - b[1]
-        near = [(k[1] - b[3], j) for j, k in enumerate(blocks) if min(k[2], b[2]) > max(k[0], b[0]) and -high <= k[1] - b[3] <= 1.35 * high - high + 0.35 * high]
-        if near:
-            j = min(near)[1]
-            k = blocks[j]
-            blocks[j] = [min(k[0], b[0]), min(k[1], b[1]), max(k[2], b[2]), max(k[3], b[3])]
+    x, y, w, h = (rows[c].to_numpy(dtype=float) for c in "xywh")
+    clusters: list[list[int]] = []
+    for i in range(len(rows)):
+        if clusters and abs(y[i] - y[clusters[-1][0]]) <= BASELINE * max(h[k] for k in clusters[-1]):
+            clusters[-1].append(i)
         else:
-            j = len(blocks)
-            blocks.append(list(b))
-        block_of[i] = j
-    left, order = list(range(len(blocks))), np.zeros(len(blocks), dtype=np.int64)
+            clusters.append([i])
+    lines: list[dict] = []
+    line_of = np.zeros(len(rows), dtype=np.int64)
+    for members in clusters:
+        now = None
+        for i in sorted(members, key=lambda k: x[k]):
+            if now is None or x[i] - now["right"] > COLUMN_GAP * now["high"]:
+                now = {"left": x[i], "right": x[i] + w[i], "top": y[i] + h[i], "bottom": y[i], "high": h[i]}
+                lines.append(now)
+            else:
+                now |= {"right": max(now["right"], x[i] + w[i]), "top": max(now["top"], y[i] + h[i]), "bottom": min(now["bottom"], y[i]), "high": max(now["high"], h[i])}
+            line_of[i] = len(lines) - 1
+    blocks: list[dict] = []
+    block_of = np.zeros(len(lines), dtype=np.int64)
+    for n in sorted(range(len(lines)), key=lambda k: (-lines[k]["top"], lines[k]["left"])):
+        line, best = lines[n], None
+        for k, block in enumerate(blocks):
+            if line["right"] <= block["left"] or line["left"] >= block["right"]:
+                continue
+            gap = block["bottom"] - line["top"]
+            gap = line["bottom"] - block["top"] if gap < 0 else gap
+            if gap <= BLOCK_GAP * min(block["high"], line["high"]) and (best is None or gap < best[0]):
+                best = (gap, k)
+        if best is None:
+            blocks.append(dict(line))
+            block_of[n] = len(blocks) - 1
+        else:
+            b = blocks[best[1]]
+            b |= {"left": min(b["left"], line["left"]), "right": max(b["right"], line["right"]), "top": max(b["top"], line["top"]), "bottom": min(b["bottom"], line["bottom"]), "high": max(b["high"], line["high"])}
+            block_of[n] = best[1]
 
-    def before(a: list[float], b: list[float]) -> bool:
-        if min(a[2], b[2]) > max(a[0], b[0]):
-            return a[3] > b[3]
-        return a[2] <= b[0]
+    def before(a: dict, b: dict) -> bool:
+        if min(a["top"], b["top"]) > max(a["bottom"], b["bottom"]) and a["left"] != b["left"]:
+            return a["left"] < b["left"]
+        return (-a["top"], a["left"]) < (-b["top"], b["left"])
 
+    left, order = list(range(len(blocks))), np.zeros(len(blocks), dtype=np.int64)
     for n in range(len(blocks)):  # selection, as the comparison is not transitive
         best = left[0]
         for c in left[1:]:
@@ -143,8 +163,9 @@ def cluster_page(page: pd.DataFrame) -> pd.DataFrame:
                 best = c
         order[best] = n
         left.remove(best)
-    rows["line"], rows["block"] = ids, block_of[ids] if len(boxes) else ids
-    rows["order"] = order[rows["block"]] if len(blocks) else ids
+    rows["line"] = line_of
+    rows["block"] = block_of[line_of] if len(lines) else line_of
+    rows["order"] = order[rows["block"]] if len(blocks) else line_of
     return rows
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def subpaths(points: DataFrame, path: str = "path_id", seq: str = "seq") -> DataFrame:
@@ -107,17 +112,53 @@ def draw_image(target: DataFrame, image: DataFrame, inverse: tuple[Column, ...],
     return at.join(image.select(F.col("row").alias("v"), F.col("col").alias("u"), "r", "g", "b"), ["u", "v"])
 
 
+def sample_images(marks: DataFrame, width: int, height: int) -> DataFrame:
+    """(path_id, row, col, r, g, b, cover): pixels whose centre the matrix of an image takes into its unit square, and the
+    image pixel there; row 0 of an image is the top of its square."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column("image").to_pylist()):
+                (a, b, c, d, e, f), w, h = x["m"], x["w"], x["h"]
+                det = a * d - b * c
+                if not det:
+                    continue
+                xs, ys = (e, e + a, e + c, e + a + c), (f, f + b, f + d, f + b + d)
+                cols = np.arange(max(0, int(np.floor(min(xs)))), min(width, int(np.ceil(max(xs)))))
+                rows = np.arange(max(0, int(np.floor(height - max(ys)))), min(height, int(np.ceil(height - min(ys)))))
+                px, py = np.meshgrid(cols + 0.5 - e, height - rows - 0.5 - f)
+                u, v = (d * px - c * py) / det, (a * py - b * px) / det
+                r, k = np.nonzero((u >= 0) & (u < 1) & (v >= 0) & (v < 1))
+                rgba = np.frombuffer(x["rgba"], dtype=np.uint8).reshape(h, w, 4)[h - 1 - (v[r, k] * h).astype(int), (u[r, k] * w).astype(int)]
+                own = batch.column("path_id").take(pa.array(np.full(len(r), i)))
+                ints = [pa.array(z.astype(np.int32)) for z in (rows[r], cols[k], *rgba.T)]
+                yield pa.RecordBatch.from_arrays([own, *ints], names=["path_id", "row", "col", "r", "g", "b", "cover"])
+
+    kinds = [T.StructField(c, T.IntegerType()) for c in ("row", "col", "r", "g", "b", "cover")]
+    return marks.select("path_id", "image").mapInArrow(kernel, T.StructType([marks.schema["path_id"], *kinds]))
+
+
 def render(marks: DataFrame, width: int, height: int) -> DataFrame:
-    """(doc_id, page, row, col, r, g, b): painted pixels of a marks table, in paint order; what is not listed is white."""
-    m = marks.where("op in ('fill', 'eofill', 'stroke')").withColumn("path_id", F.struct("doc_id", "page", "seq"))
+    """(doc_id, page, row, col, r, g, b): painted pixels of a marks table, in paint order; what is not listed is white.
+
+    A mark paints only where all of its clips have pixels; images bring a colour and a cover for each pixel."""
+    m = marks.where("op in ('fill', 'eofill', 'stroke', 'image')").withColumn("path_id", F.struct("doc_id", "page", "seq"))
     points = m.select("path_id", "op", "half", F.posexplode("points").alias("seq", "p")).select("path_id", "op", "half", "seq", "p.x", "p.y", "p.move")
     parts = [fill(edges_of(points.where(F.col("op") == op)), width, height, op == "eofill") for op in ("fill", "eofill")]
     lines = points.where("op = 'stroke'").withColumn("sub", F.sum(F.col("move").cast("int")).over(Window.partitionBy("path_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
     w = Window.partitionBy("path_id", "sub").orderBy("seq")
     seg = lines.select("path_id", "half", F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")).where("x0 is not null")
     parts.append(stroke_wide(seg, width, height))
-    hit = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    painted = hit.join(m.select("path_id", "r", "g", "b", "alpha", "mode"), "path_id").select(F.struct("path_id.doc_id", "path_id.page").alias("page"), "path_id.seq", "row", "col", "r", "g", "b", "alpha", "mode")
+    colour = m.select("path_id", "r", "g", "b", "alpha", "mode")
+    hit = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(colour, "path_id")
+    shown = sample_images(m.where("op = 'image'"), width, height).join(colour.select("path_id", "alpha", "mode"), "path_id")
+    hit = hit.unionByName(shown.where("cover > 0").withColumn("alpha", F.col("alpha") * F.col("cover") / 255).drop("cover"))
+    clips = m.where("clips > 0").select("path_id", F.posexplode("clip_paths").alias("n", "c"))
+    # clips that many marks share are filled once
+    keyed = clips.select("path_id", F.xxhash64(F.to_json("c")).alias("clip_id"), "c")
+    shapes = keyed.groupBy("clip_id").agg(F.any_value("c").alias("c")).select(F.col("clip_id").alias("path_id"), "c.even", F.posexplode("c.points").alias("seq", "p")).select("path_id", "even", "seq", "p.x", "p.y", "p.move")
+    regions = fill(edges_of(shapes.where("not even")), width, height).unionByName(fill(edges_of(shapes.where("even")), width, height, True)).withColumnRenamed("path_id", "clip_id")
+    hit = clip(hit, regions, keyed.select("path_id", "clip_id").distinct(), "path_id")
+    painted = hit.select(F.struct("path_id.doc_id", "path_id.page").alias("page"), "path_id.seq", "row", "col", "r", "g", "b", "alpha", "mode")
     return fold_marks(painted).select("page.doc_id", "page.page", "row", "col", "r", "g", "b")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources import images
 from quire.sources.codecs import FilterError
 from quire.sources.graphics import Canvas, Fault, multiply, width_of
 from quire.sources.pdf import Document, Keyword, Lexer, PdfError, Stream
@@ -90,6 +92,7 @@ class Page:
         self.events: list[tuple] = []
         self.tm = self.tlm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
         self.depth = self.hidden = 0
+        self.space: images.Space | None = None
         self.open: list[bool] = []
         root = doc.get(doc.trailer["Root"]) or {}
         config = (doc.get((doc.get(root.get("OCProperties")) or {}).get("D"))) or {}
@@ -129,10 +132,10 @@ class Page:
         if op in ("BMC", "BDC"):
             props = args[-1] if op == "BDC" and args else None
             target = (self.doc.get(self.resources.get("Properties")) or {}).get(props) if isinstance(props, str) else None
-            off = hasattr(target, "num") and target.num in self.off
+            d = props if isinstance(props, dict) else self.doc.get(target) or {}
+            off = self.is_hidden(target) or isinstance(d, dict) and (self.is_hidden(d["OC"]) if "OC" in d else self.is_hidden(d))
             self.open.append(off)
             self.hidden += off
-            d = props if isinstance(props, dict) else self.doc.get(target) or {}
             self.events.append((len(self.events), "begin", str(args[0]) if args else "", d.get("MCID") if isinstance(d, dict) else None))
             return
         if op == "EMC":
@@ -155,12 +158,16 @@ class Page:
             k = [max(0.0, min(1.0, x)) for x in self.numbers(args, 4)]
             c.set(color=tuple((1 - x) * (1 - k[3]) for x in k[:3]))
         elif op in ("CS", "cs"):
-            c.set(space=str(args[-1]) if args else "", color=(0.0, 0.0, 0.0))
+            self.space = images.space_of(self.doc, str(args[-1]) if args else "", self.doc.get(self.resources.get("ColorSpace")) or {})
+            c.set(space=str(args[-1]), color=(0.0, 0.0, 0.0))
         elif op in ("SC", "sc", "SCN", "scn"):
             if not args or isinstance(args[-1], str):
                 raise Fault("undefined")
             v = self.numbers(args, len(args))
-            self.take({1: "g", 3: "rg", 4: "k"}.get(len(v), "?"), v)
+            space = self.space or images.DEVICE.get({1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}.get(len(v), ""))
+            if space is None or len(v) != space.size:
+                raise Fault("undefined")
+            c.set(color=tuple(float(x) for x in space.rgb(np.array([v]))[0]))
         elif op in ("S", "s", "f", "f*", "B", "B*", "b", "b*"):
             if op in ("s", "b", "b*") and c.path:
                 c.close()
@@ -181,8 +188,8 @@ class Page:
             if not isinstance(d, dict):
                 raise Fault("undefined")
             mode = str(d.get("BM", c.state.mode))
-            if mode not in BLENDS or any(d.get(k) is True for k in ("OP", "op", "AIS")):
-                raise Fault("undefined")
+            if mode not in BLENDS or any(d.get(k) is True for k in ("OP", "op", "AIS")) or self.doc.get(d.get("SMask")) not in (None, "None"):
+                raise Fault("undefined")  # painting without a mask that is asked for would be wrong
             c.set(mode=mode, alpha=float(d.get("ca", c.state.alpha)), width=float(d.get("LW", c.state.width)))
         elif op == "Do":
             self.xobject(str(args[-1]) if args else "")
@@ -244,15 +251,32 @@ class Page:
             self.glyphs.append((self.number, len(self.glyphs), code, font.unicode(code), m[4], m[5], wide, high, font.name, size))
             self.shift(adv)
 
+    def is_hidden(self, group) -> bool:
+        """Whether an optional content group is off, or the policy of a membership dictionary hides what it marks."""
+        if hasattr(group, "num") and group.num in self.off:
+            return True
+        d = self.doc.get(group)
+        members = self.doc.get(d.get("OCGs")) if self.off and isinstance(d, dict) else None
+        if not isinstance(members, list) or not members:
+            return False
+        off = [hasattr(m, "num") and m.num in self.off for m in members]
+        return {"AllOn": any(off), "AnyOff": not any(off), "AllOff": not all(off)}.get(str(d.get("P", "AnyOn")), all(off))
+
+    def image(self, x: Stream) -> None:
+        """A mark that carries its pixels and the matrix of its unit square."""
+        rgba = images.pixels(self.doc, x, self.canvas.state.color, self.doc.get(self.resources.get("ColorSpace")) or {})
+        self.canvas.paint("image", self.canvas.rect(0, 0, 1, 1))
+        shown = {"w": rgba.shape[1], "h": rgba.shape[0], "rgba": rgba.tobytes(), "m": [float(v) for v in self.canvas.state.ctm]}
+        self.canvas.marks[-1] = (*self.canvas.marks[-1], shown)
+
     def xobject(self, name: str) -> None:
         x = self.resource("XObject", name)
         if not isinstance(x, Stream):
             raise Fault("undefined")
-        oc = x.dict.get("OC")
-        if hasattr(oc, "num") and oc.num in self.off:
+        if "OC" in x.dict and self.is_hidden(x.dict["OC"]):
             return
         if x.dict.get("Subtype") == "Image":
-            self.canvas.paint("image", self.canvas.rect(0, 0, 1, 1))
+            self.image(x)
             self.events.append((len(self.events), "image", name, None))
             return
         if self.depth >= 16:

@@ -672,10 +672,15 @@ def _(m):
     m.push(_advance(m, m.pop(bytearray)), 0.0)
 
 
-MARK = "page long, seq long, op string, points array<struct<x:double,y:double,move:boolean>>, r int, g int, b int, half double, alpha double, mode string, clips int, error string"
+MARK = "page long, seq long, op string, points array<struct<x:double,y:double,move:boolean>>, r int, g int, b int, half double, alpha double, mode string, clips int, clip_paths array<struct<even:boolean,points:array<struct<x:double,y:double,move:boolean>>>>, image struct<w:int,h:int,rgba:binary,m:array<double>>, error string"
 _POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("move", pa.bool_())]))
-_TYPES = [pa.int64(), pa.int64(), pa.string(), _POINTS, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.string()]
-_NAMES = ["page", "seq", "op", "points", "r", "g", "b", "half", "alpha", "mode", "clips", "error"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), _POINTS, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.struct([("even", pa.bool_()), ("points", _POINTS)])),
+          pa.struct([("w", pa.int32()), ("h", pa.int32()), ("rgba", pa.binary()), ("m", pa.list_(pa.float64()))]), pa.string()]
+_NAMES = ["page", "seq", "op", "points", "r", "g", "b", "half", "alpha", "mode", "clips", "clip_paths", "image", "error"]
+
+
+def _points(path) -> list[dict]:
+    return [{"x": x, "y": y, "move": mv} for x, y, mv in path]
 
 
 def mark_table(files: DataFrame, interpret) -> DataFrame:
@@ -687,10 +692,11 @@ def mark_table(files: DataFrame, interpret) -> DataFrame:
                 canvas, last, error = interpret(content or b"")
                 for k in canvas.marks:
                     if k[0] <= last:
-                        rows.append((doc_id, k[0], k[1], k[2], [{"x": x, "y": y, "move": mv} for x, y, mv in k[3]], *k[4:10], len(k[10]), None))
+                        clips = [{"even": even, "points": _points(path)} for even, path in k[10]]
+                        rows.append((doc_id, k[0], k[1], k[2], _points(k[3]), *k[4:10], len(clips), clips, k[11] if len(k) > 11 else None, None))
                 if error or not canvas.marks:
-                    rows.append((doc_id, last or 1, None, None, None, None, None, None, None, None, None, None, error))
-            cols = list(zip(*rows)) if rows else [()] * 13
+                    rows.append((doc_id, last or 1, *[None] * (len(_NAMES) - 2), error))
+            cols = list(zip(*rows)) if rows else [()] * (len(_NAMES) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [b.column("doc_id").type, *_TYPES])], names=["doc_id", *_NAMES])
 
     kind = files.schema["doc_id"].dataType.simpleString()
