@@ -64,3 +64,28 @@ def report(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 def untraced(rows: DataFrame, tests: DataFrame) -> DataFrame:
     """Live rows of a traceability table whose test does not exist."""
     return rows.where("status = 'live'").join(tests, "test", "left_anti")
+
+
+def selected(rows: DataFrame, external: bool = False, area: str | None = None, own: str = "repo-authored") -> DataFrame:
+    """Rows of this run: never those of the repository itself, those of the external tier (``basis`` 'external') only if asked for, one area or all."""
+    keep = F.col("source") != own
+    if not external:
+        keep &= F.col("basis") != "external"
+    return rows.where(keep & (F.col("area") == area) if area else keep)
+
+
+def tree_faults(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(archive, faults, first): members of an archive whose file is absent or differs, and the first of them by path; archives without any are whole."""
+    status = verify_files(members.select("path", "bytes", "sha256"), files)
+    bad = members.select("archive", "path").join(status.where("status <> 'ok'"), "path")
+    return bad.groupBy("archive").agg(F.count(F.lit(1)).alias("faults"), F.min("path").alias("first"))
+
+
+def bulk_totals(members: DataFrame, archives: DataFrame) -> DataFrame:
+    """(files, bytes): members of all archives, and what the archives themselves weigh."""
+    return archives.agg(F.sum("bytes").alias("bytes")).crossJoin(members.agg(F.count(F.lit(1)).alias("files")))  # two single rows
+
+
+def same_page(claims: DataFrame, key: str = "elem", page: str = "page") -> DataFrame:
+    """(key, same_page): whether all claims of an element are on one page."""
+    return claims.groupBy(key).agg((F.count_distinct(page) <= 1).alias("same_page"))

@@ -18,19 +18,42 @@ def archive_violations(objects: DataFrame, mode: str = "4") -> DataFrame:
     names = F.transform(names, lambda x: F.regexp_replace(x, "^/", ""))
     has = lambda k: F.get_json_object("v", f"$.{k}").isNotNull()
     files = o.select("doc_id", F.concat("num", F.lit(" 0 R")).alias("descriptor"), (has("FontFile") | has("FontFile2") | has("FontFile3")).alias("embedded"))
-    fonts = o.where("type = '/Font' and subtype <> '/Type0'").join(files, ["doc_id", "descriptor"], "left").where("not coalesce(embedded, false)").select("doc_id", "num", F.lit(0).alias("ord"))
+    simple = F.coalesce(F.col("subtype"), F.lit("")).isin("/Type0", "/Type3")
+    lone = o.where((F.col("type") == "/Font") & ~simple).join(files, ["doc_id", "descriptor"], "left")
+    # a composite font is embedded if all of its descendants are; it names them by reference, in a list or through one more reference
+    listed = F.regexp_extract_all(F.get_json_object("v", "$.DescendantFonts"), F.lit(r"(\d+) \d+ R"), F.lit(1))
+    kids = o.where("type = '/Font' and subtype = '/Type0'").select("doc_id", "num", F.explode_outer(listed.cast("array<bigint>")).alias("kid"))
+    held = o.join(files, ["doc_id", "descriptor"], "left").select("doc_id", F.col("num").alias("kid"), F.coalesce("embedded", F.lit(False)).alias("embedded"))
+    whole = kids.join(held, ["doc_id", "kid"], "left").groupBy("doc_id", "num").agg(F.bool_and(F.coalesce("embedded", F.lit(False))).alias("embedded"))
+    fonts = lone.where("not coalesce(embedded, false)").select("doc_id", "num").unionByName(whole.where("not embedded").select("doc_id", "num")).withColumn("ord", F.lit(0))
     checks = [
-        (1, F.array_contains(names, "LZWDecode")), (2, F.exists(names, lambda f: ~f.isin(*ALLOWED))), (3, F.col("space") == "/DeviceCMYK"), (4, has("Alternates")), (5, has("OPI")), (6, F.col("bm").isNotNull() & (F.col("bm") != "/Normal")),
+        (1, F.array_contains(names, "LZWDecode")), (2, F.exists(names, lambda f: ~f.isin(*ALLOWED))), (4, has("Alternates")), (5, has("OPI")), (6, F.col("bm").isNotNull() & (F.col("bm") != "/Normal")),
         (7, has("EmbeddedFiles") & F.lit(mode == "4")),
     ]
     rows = fonts
     for n, bad in checks:
         rows = rows.unionByName(o.where(bad).select("doc_id", "num", F.lit(n).alias("ord")))
+    rows = rows.unionByName(_device_cmyk(objects, o))
     if mode == "4f":
         rows = rows.unionByName(o.groupBy("doc_id").agg(F.bool_or(has("EmbeddedFiles")).alias("e")).where("not e").select("doc_id", F.lit(None).cast("long").alias("num"), F.lit(8).alias("ord")))
     return rows.withColumn("rule", F.element_at(F.array(*map(F.lit, ARCHIVE_RULES)), F.col("ord") + 1))
 
 
+def _device_cmyk(objects: DataFrame, o: DataFrame, hops: int = 8) -> DataFrame:
+    """(doc_id, num, ord): objects whose colour space names DeviceCMYK, in itself or through references: arrays, dictionaries and the
+    alternates of profiles are walked, ``hops`` references deep. Each round is a join with what was reached anew."""
+    named = lambda c: F.regexp_like(c, F.lit(r'"?/DeviceCMYK"?($|[,\]}])'))
+    refs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+) \d+ R"), F.lit(1)))
+    body = F.when(F.col("kind") == "stream", F.coalesce(F.get_json_object("value", "$.stream.Alternate"), F.lit(""))).otherwise(F.col("value"))
+    bodies = objects.where("error is null").select("doc_id", F.col("num").alias("at"), body.alias("body"))
+    now = o.where("space is not null").select("doc_id", "num", F.col("space").alias("body"))
+    found = now.where(named(F.col("body"))).select("doc_id", "num")
+    for _ in range(hops):
+        now = now.select("doc_id", "num", F.explode(refs(F.col("body")).cast("array<bigint>")).alias("at")).join(bodies, ["doc_id", "at"]).select("doc_id", "num", "body").distinct()
+        found = found.unionByName(now.where(named(F.col("body"))).select("doc_id", "num"))
+    return found.distinct().withColumn("ord", F.lit(3))
+
+
 def first_violation(rows: DataFrame) -> DataFrame:
     """(doc_id, rule): the first of each document in object order."""
     return rows.groupBy("doc_id").agg(F.min_by("rule", F.struct(F.coalesce("num", F.lit(1 << 40)), "ord")).alias("rule"))

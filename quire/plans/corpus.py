@@ -146,6 +146,42 @@ def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACEABILITY_SQL = """select p_partkey as "case", 'no test' as what from part where p_size % 3 = 0 and 'Test' || (p_partkey % 900) not in (select 'Test' || (s_suppkey * 7) from supplier)
 union all select * from (select p_partkey, 'in all audits' from part where p_partkey % 2 = 0 intersect select p_partkey, 'in all audits' from part where p_partkey % 3 = 0 intersect select p_partkey, 'in all audits' from part where p_partkey % 5 = 0)"""
 
-QUERIES = {f.__name__: f for f in (manifest_rules, manifest_files, validation_report, page_tree, role_maps, structure_agreement, xref_sections, optional_content, traceability)}
-SQL = {"manifest_rules": MANIFEST_RULES_SQL, "manifest_files": MANIFEST_FILES_SQL, "validation_report": VALIDATION_REPORT_SQL, "page_tree": PAGE_TREE_SQL, "role_maps": ROLE_MAPS_SQL, "structure_agreement": STRUCTURE_AGREEMENT_SQL,
+
+def selected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a run of one area acts on, with and without the external tier."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, "repo-authored").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 4 == 0, "external").otherwise("spec").alias("basis"), F.concat(F.lit("area"), (F.col("doc_id") % 6).cast("string")).alias("area"))
+    both = M.selected(d, True, "area3").withColumn("tier", F.lit("all")).unionByName(M.selected(d).withColumn("tier", F.lit("inner")))
+    return both.select("doc_id", "area", "tier")
+
+
+SELECTED_ROWS_SQL = """with d as (select doc_id, case when doc_id % 9 = 0 then 'repo-authored' else source end as source, doc_id % 4 = 0 as external, 'area' || (doc_id % 6) as area from documents)
+select doc_id, area, 'all' as tier from d where source <> 'repo-authored' and area = 'area3' union all select doc_id, area, 'inner' from d where source <> 'repo-authored' and not external"""
+
+
+def bulk_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of archives against the tree: whole archives, the first fault of the others, and totals."""
+    d = table(spark, sf_dir, "documents")
+    members = d.select((F.col("doc_id") % 40).cast("string").alias("archive"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    files = d.where("doc_id % 97 <> 5").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 89 == 7, F.reverse("text")).otherwise(F.col("text")).alias("content"))
+    faults = M.tree_faults(members, files)
+    archives = members.groupBy("archive").agg(F.sum("bytes").alias("bytes"))
+    totals = M.bulk_totals(members, archives).select(F.lit("all").alias("archive"), "bytes", F.col("files").alias("faults"), F.lit(None).cast("string").alias("first"))
+    return archives.join(faults, "archive", "left").na.fill(0, ["faults"]).select("archive", "bytes", "faults", "first").unionByName(totals)
+
+
+BULK_MEMBERS_SQL = """with m as (select cast(doc_id % 40 as varchar) as archive, source || '/' || doc_id as path, strlen(text) as bytes, text, doc_id from documents),
+b as (select archive, count(*) as faults, min(path) as first from m where doc_id % 97 = 5 or (doc_id % 89 = 7 and reverse(text) <> text) group by archive)
+select archive, sum(bytes)::bigint as bytes, coalesce(any_value(faults), 0)::bigint as faults, any_value(first) as first from m left join b using (archive) group by archive
+union all select 'all', sum(bytes)::bigint, count(*), null from m"""
+
+
+def same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("elem"), (F.col("l_suppkey") % 3).alias("page"))
+    return M.same_page(claims)
+
+
+SAME_PAGE_SQL = "select l_orderkey as elem, count(distinct l_suppkey % 3) <= 1 as same_page from lineitem group by 1"
+
+QUERIES = {f.__name__: f for f in (selected_rows, bulk_members, same_page, manifest_rules, manifest_files, validation_report, page_tree, role_maps, structure_agreement, xref_sections, optional_content, traceability)}
+SQL = {"selected_rows": SELECTED_ROWS_SQL, "bulk_members": BULK_MEMBERS_SQL, "same_page": SAME_PAGE_SQL, "manifest_rules": MANIFEST_RULES_SQL, "manifest_files": MANIFEST_FILES_SQL, "validation_report": VALIDATION_REPORT_SQL, "page_tree": PAGE_TREE_SQL, "role_maps": ROLE_MAPS_SQL, "structure_agreement": STRUCTURE_AGREEMENT_SQL,
        "xref_sections": XREF_SECTIONS_SQL, "optional_content": OPTIONAL_CONTENT_SQL, "traceability": TRACEABILITY_SQL}
