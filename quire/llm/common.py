@@ -83,8 +83,9 @@ def sample_texts(texts: DataFrame, key: str, most: int, most_bytes: int) -> Data
     four times as many rows as are wanted of each key, then the texts are fetched: none is sorted or sent anywhere before."""
     rows = texts.where(F.col(key).isNotNull() & (F.octet_length("text") <= most_bytes // 40)).select(key, "text", F.xxhash64("text").alias("h"))
     slim = save(rows.groupBy(key, "h").agg(F.min(F.octet_length("text")).alias("size")), "sample-hashes")
-    share = slim.groupBy(key).agg((4.0 * most / F.count(F.lit(1))).alias("share"))
-    near = slim.join(share, key).where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    share = save(slim.groupBy(key).agg((4.0 * most / F.count(F.lit(1))).alias("share")), "sample-shares")
+    # so few keys are broadcast that the filter runs before any row is dealt out by key
+    near = slim.join(F.broadcast(share) if share.count() <= 10_000 else share, key).where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
     ahead = Window.partitionBy(key).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     best = near.withColumns({"r": F.count(F.lit(1)).over(ahead), "b": F.sum("size").over(ahead)}).where((F.col("r") <= most) & (F.col("b") <= most_bytes))
     best = save(best.select(key, "h"), "sample")
