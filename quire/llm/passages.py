@@ -8,16 +8,17 @@ passages agree in a min-hash exactly if their windows carry the same value. Only
 of two texts or more go on, with the shingles of their windows next to c.
 
 All windows of a value under any function meet, and two of them that hold stretches of passage length
-with Jaccard similarity ``SIMILAR`` or more link their texts. Where they are more than ``BLOCK``, the hash of
-every stretch in them is first joined to the first text that has it, which links
-every text that holds it; the others meet in blocks. Texts that are equal as a whole are one class from the start.
+with Jaccard similarity ``SIMILAR`` or more link their texts. Of the windows that such pairs connect the first is tied to
+each other one, so results are the same whichever way a group is compared: groups of ``BLOCK`` windows or fewer
+at once, larger ones by their different stretches, which meet where they share a shingle that is rare in the
+group (``large_groups``). Texts that are equal as a whole are one class from the start.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -164,20 +165,71 @@ def unpacked(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return wide.view("<i4").reshape(-1), offsets // 3
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all stretches of passage length around the place of each part, and the places of their first shingles."""
+def _shingle_keys(value: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """One number for a value and a shingle of its windows."""
+    return mix(value.view(np.uint64) ^ mix(data.astype(np.uint64))).view(np.int64)
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each part."""
     for b in batches:
         data, at = unpacked(b.column("part"))
-        before = b.column("before").to_numpy()
-        low, high = np.maximum(0, before - LEAST + 1), np.minimum(before, np.diff(at) - LEAST)
-        many = high - low + 1
-        own = np.repeat(np.arange(b.num_rows), many)
-        first = np.arange(len(own)) - np.repeat(np.cumsum(many) - many - low, many)
-        start = at[own] + first
-        key = RangeHash(data.view(np.uint32), _POWERS)(start, start + LEAST).view(np.int64)
-        names = ["value", "uid", "c"]
-        cols = [b.column(k).take(pa.array(own)) for k in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(key), pa.array(b.column("c").to_numpy()[own] + first - before[own])], names=[*names, "key", "s"])
+        own = np.repeat(np.arange(b.num_rows), np.diff(at))
+        once = np.unique(own << 24 | data, return_index=True)[1]
+        key = _shingle_keys(b.column("value").to_numpy()[own[once]], data[once])
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("w").take(pa.array(own[once]))], names=["key", "w"])
+
+
+def undominated(alone: np.ndarray, first: np.ndarray, many: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which stretches can be the most similar of their part to one of another part.
+
+    ``alone``: whether a place has a shingle that stands nowhere else. A stretch that begins or ends with one shares no less with
+    any other after a step away from it, and has no more kinds; of stretches that would yield to each other the later one stays."""
+    stays = ~(alone[start] & (first + 1 < many))
+    back = np.zeros(len(start), dtype=bool)
+    back[1:] = stays[1:] & stays[:-1] & (first[1:] > 0) & alone[start[1:] + LEAST - 1]
+    upto = np.concatenate(([0], np.cumsum(alone)))
+    return stays & ~back & (upto[start + LEAST] - upto[start] <= LEAST - -(-4 * LEAST // 5))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Undominated stretches of passage length of each part, with the rarest of their shingles that other parts have too.
+
+    Of d and e <= d kinds of shingles, similar stretches share 8/9 of e and 4/5 of d or more. So in any one order of shingles they share
+    one that is among the first e - ceil(8e/9) + 1 of the one (``low`` of them are listed) and the first d - ceil(4d/5) + 1 of the other."""
+    for batch in batches:
+        for b in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            data, at = unpacked(b.column("part"))
+            size, value = np.diff(at), b.column("value").to_numpy()
+            own = np.repeat(np.arange(b.num_rows), size)
+            key = _shingle_keys(value[own], data)
+            flat = b.column("known").flatten()
+            names, order = np.unique(flat.field("key").to_numpy(), return_index=True)
+            spot = np.minimum(np.searchsorted(names, key), len(names) - 1)
+            held = np.where(names[spot] == key, flat.field("n").to_numpy()[order][spot], 1)
+            _, cell, times = np.unique(own << 24 | data, return_inverse=True, return_counts=True)
+            many = np.maximum(size - LEAST + 1, 0)
+            part = np.repeat(np.arange(b.num_rows), many)
+            first = np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)
+            start = at[part] + first
+            keep = undominated((held == 1) & (times[cell] == 1), first, many[part], start)
+            part, start = part[keep], start[keep]
+            order = np.lexsort((key, held))
+            new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+            rank = np.empty(len(key), dtype=np.int64)
+            rank[order] = np.cumsum(new) - 1
+            grid = np.sort(rank[start[:, None] + np.arange(LEAST)], axis=1)
+            kind = np.ones(grid.shape, dtype=bool)
+            kind[:, 1:] = grid[:, 1:] != grid[:, :-1]
+            d, place = kind.sum(axis=1), np.cumsum(kind, axis=1) - 1
+            listed = kind & (place < (d - -(-4 * d // 5) + 1)[:, None]) & (held[order][new][grid] > 1)
+            low = (listed & (place < (d - -(-8 * d // 9) + 1)[:, None])).sum(axis=1)
+            counts = listed.sum(axis=1)
+            some = counts > 0
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts[some]))).astype(np.int32)), pa.array(key[order][new][grid[listed]]))
+            text = mix(RangeHash(data.view(np.uint32), _POWERS)(start[some], start[some] + LEAST) ^ mix(value[part[some]].view(np.uint64)))
+            w = b.column("w").take(pa.array(part[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(text.view(np.int64)), w, pa.array(d[some]), pa.array(low[some]), rare], names=["key", "w", "d", "low", "rare"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: int = LEAST, bound: float = SIMILAR) -> bool:
@@ -345,9 +397,10 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         least = new
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified pairs of each group; the rows of a group follow one another, those of its last group wait for the next batch.
+def _compare(batches: Iterator[pa.RecordBatch], rooted: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of the parts of a group that verified pairs connect the first, with each other one; the rows of a group follow one another, those of its last group wait for the next batch.
 
+    ``rooted``: rows of the same c are known to be connected; the pairs that connect others are given.
     Nearly all groups are settled for a whole batch at once: neighbours hold an equal passage, and pairs of small groups are judged by
     the order of what they share."""
     names = ["value", "i", "j", "uid", "c", "side", "before"]
@@ -378,7 +431,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = once // len(uid), once % len(uid)
         equal = equal_pairs(data, starts, ends, at, p, q)
         links = [np.stack([p[equal], q[equal]])]
-        known = connected(len(uid), p[equal], q[equal])
+        if rooted:
+            o = np.lexsort((c, group))
+            same = (group[o][1:] == group[o][:-1]) & (c[o][1:] == c[o][:-1])
+            known = connected(len(uid), np.concatenate([p[equal], o[:-1][same]]), np.concatenate([q[equal], o[1:][same]]))
+        else:
+            known = connected(len(uid), p[equal], q[equal])
         open_ = np.flatnonzero((size > 1) & (two | (np.maximum.reduceat(known, head) > head)))
         few = open_[(size[open_] <= FEW) & ~two[open_]]
         # all pairs of small groups that are not known to be connected, some thousands at once
@@ -394,6 +452,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = group_links([data[starts[k] : ends[k]] for k in r], at[r].tolist(), side[r], known[r] - head[g])
             links.append(np.array(found, dtype=np.int64).reshape(-1, 2).T + head[g])
         a, b = np.concatenate(links, axis=1)
+        if not rooted:  # rows are in the order of uid and c
+            a, b = connected(len(uid), a, b), np.arange(len(uid))
         a, b = (x[uid[a] != uid[b]] for x in (a, b))
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (uid[a], uid[b], c[a], c[b])], names=["a", "b", "ca", "cb"])
 
@@ -413,8 +473,53 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held)
 
 
+def large_groups(large: DataFrame, n: int) -> DataFrame:
+    """(node, root): parts of a value that similar stretches connect, for values of any number of parts; w names a part.
+
+    Equal stretches connect their holders to the first of them, which then stands for all with that stretch. Different ones meet where
+    they share a shingle that is rare in both; groups of the same parts meet once, those that are connected already don't."""
+    kinds = large.select("value", "w", "part").mapInArrow(_kinds, "key long, w long")
+    shared = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = kinds.join(shared, "key").groupBy("w").agg(F.collect_list(F.struct("key", "n")).alias("known"))
+    stretches = save(large.join(known, "w").select("w", "value", "part", "known").mapInArrow(_stretches, "key long, w long, d long, low long, rare array<long>"), "stretches")
+    release(large.sparkSession)
+    held = save(stretches.groupBy("key").agg(F.min("w").alias("first"), F.max("w").alias("top"), F.any_value(F.struct("d", "low", "rare")).alias("x")), "different-stretches")
+    edges = save(stretches.select("key", "w").join(held.where("first <> top").select("key", "first"), "key").where("w <> first").select(F.col("first").alias("a"), F.col("w").alias("b")).distinct(), "equal-stretches")
+    drop_saved(stretches)
+    # e: the least number of kinds for which the shingle is among the fewer, d: the largest
+    listed = held.select(F.col("first").alias("w"), "x.d", "x.low", F.posexplode("x.rare").alias("k", "key")).groupBy("key", "w").agg(F.min(F.when(F.col("k") < F.col("low"), F.col("d"))).alias("e"), F.max("d").alias("d"))
+    least = listed.groupBy("key").agg(F.min("e").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1 and least is not null").select("key", "least")
+    meets = save(listed.join(least, "key").where("e is not null or d > least").select("key", "w"), "rare-shingles")
+
+    def open_(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        tagged = rows.select("key", "w").join(roots.withColumnRenamed("node", "w"), "w", "left").withColumn("root", F.coalesce("root", "w"))
+        marks = [F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("w").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "w")).alias("t"), F.min("root").alias("x"), F.max("root").alias("y")]
+        once = tagged.groupBy("key").agg(*marks).where("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+        return save(tagged.join(once, "key").withColumn("k", F.pmod(F.xxhash64("w"), F.col("nb")).cast("int")), "open-groups")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        groups = rows.join(large.select("w", "before", "part"), "w").select(F.col("key").alias("value"), "i", "j", F.col("w").alias("uid"), F.col("root").alias("c"), "side", "before", "part")
+        dealt = groups.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j")
+        return save(dealt.mapInArrow(partial(_compare, rooted=True), "a long, b long, ca long, cb long").select("a", "b").distinct(), "near-stretches")
+
+    zero = F.lit(0)
+    roots = save(connected_components(edges), "roots")
+    left = open_(meets, roots)
+    edges = edges.unionByName(compared(left.select("key", "w", "root", F.col("k").alias("i"), F.col("k").alias("j"), zero.alias("side"))))
+    roots = save(connected_components(edges), "roots")
+    # groups of several blocks that are not connected by now: each block meets each other
+    left = open_(left.where("nb > 1"), roots)
+    if left.isEmpty():
+        return roots
+    pairs = left.withColumn("o", F.explode(F.sequence(zero, F.col("nb") - 1))).where("k <> o")
+    edges = edges.unionByName(compared(pairs.select("key", "w", "root", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"))))
+    return connected_components(edges)
+
+
 def passage_links(texts: DataFrame, table: str) -> DataFrame:
-    """(a, b, n): pairs of different texts that share ``n`` verified places of an equal or near-duplicate passage."""
+    """(a, b, n): pairs of different texts that share ``n`` verified places of an equal or near-duplicate passage.
+
+    Of the places of a value that similar stretches connect, the first (by uid and place) is paired with each other one, whatever the group's size."""
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     windows = save(texts.select("uid", "text").mapInArrow(_window_rows, "value long, uid long, spot long"), "windows")
@@ -429,25 +534,17 @@ def passage_links(texts: DataFrame, table: str) -> DataFrame:
         asked = spots.groupBy("uid").agg(F.collect_list(F.struct("value", "spot")).alias("wanted"))
         return spark.table(table).join(asked, "uid").select("uid", "text", "wanted").mapInArrow(_parts, "value long, uid long, c long, before long, part binary")
 
-    def compared(groups: DataFrame) -> DataFrame:
-        dealt = groups.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j")
-        return save(dealt.mapInArrow(_compare, "a long, b long, ca long, cb long"), "pairs")
-
     zero = F.lit(0)
-    small = compared(parts(met.join(hot, "value", "left_anti")).select("value", zero.alias("i"), zero.alias("j"), "uid", "c", zero.alias("side"), "before", "part"))
+    groups = parts(met.join(hot, "value", "left_anti")).select("value", zero.alias("i"), zero.alias("j"), "uid", "c", zero.alias("side"), "before", "part")
+    links = save(groups.repartition(n, "value").sortWithinPartitions("value").mapInArrow(_compare, "a long, b long, ca long, cb long"), "pairs")
     release(spark)
-    # in a large group equal passages join by their hash, then of the parts that hold one only the first text's meet the others
-    large = save(parts(met.join(hot, "value")), "large-parts")
-    around = save(large.mapInArrow(_stretches, "value long, uid long, c long, key long, s long"), "stretches")
-    holders = around.groupBy("value", "key").agg(F.min(F.struct("uid", "s")).alias("x"), F.max("uid").alias("top")).where("x.uid <> top").select("value", "key", F.col("x.uid").alias("a"), F.col("x.s").alias("ca"))
-    held_by = save(around.join(holders, ["value", "key"]).where("uid <> a").groupBy("value", "a", "uid", "c", (F.col("ca") - F.col("s")).alias("shift")).agg(F.min("ca").alias("ca")), "equal-passages")
-    equal = held_by.select("a", F.col("uid").alias("b"), "ca", (F.col("ca") - F.col("shift")).alias("cb"))
-    rest = save(large.join(held_by.select("value", "uid", "c").distinct(), ["value", "uid", "c"], "left_anti"), "large-groups-left")
-    blocks = rest.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    dealt = rest.join(blocks, "value").withColumn("k", F.pmod(F.xxhash64("uid", "c"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(zero, F.col("nb") - 1)))
-    near = compared(dealt.select("value", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "uid", "c", F.when(F.col("k") > F.col("o"), 1).otherwise(0).alias("side"), "before", "part"))
+    if not hot.isEmpty():
+        large = save(parts(met.join(hot, "value")).withColumn("w", F.monotonically_increasing_id()), "large-parts")
+        placed = large.select(F.col("w").alias("node"), "uid", "c").join(large_groups(large, n), "node")
+        firsts = placed.groupBy("root").agg(F.min(F.struct("uid", "c")).alias("x"))
+        links = links.unionByName(placed.join(firsts, "root").where("x.uid <> uid").select(F.col("x.uid").alias("a"), F.col("uid").alias("b"), F.col("x.c").alias("ca"), F.col("c").alias("cb")))
     # one place for each shift between the two texts and each passage length of the first
-    both = equal.unionByName(small).unionByName(near).groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), F.floor(F.col("ca") / (2 * LEAST)).alias("place")).agg(F.lit(1))
+    both = links.groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), F.floor(F.col("ca") / (2 * LEAST)).alias("place")).agg(F.lit(1))
     return save(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "passage-links")
 
 
@@ -455,7 +552,7 @@ def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id, n_links, n_passages, is_copy) for each row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` that the row reaches through equal texts and through
-    near-duplicate passages; ``n_links`` counts links between its text and other texts, of the verified ones those that connect the texts of a value, ``n_passages`` their places. Texts without ``PASSAGE`` words link only to equal texts; null and empty
+    near-duplicate passages; ``n_links`` counts ties between its text and other texts (in each group of connected places the first is tied to the others), ``n_passages`` their places. Texts without ``PASSAGE`` words link only to equal texts; null and empty
     texts to none. A null ``doc_id`` never names a component unless all are null. Repeated rows are copies. Empty tables
     give an empty result; other columns are ignored.
     """

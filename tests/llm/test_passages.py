@@ -174,3 +174,33 @@ def test_pairs_judged_together_agree_with_every_stretch_against_every_other():
         if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
             assert P.boxed(x, y) == w if len(x) >= 46 and len(y) >= 46 else not w
         assert bool(P.group_links([x, y], [0, 0], np.zeros(2, dtype=np.int64))) == w
+
+
+def variants(rng):
+    """A line of many texts, passages of many texts that differ in a word, and texts that only one stretch of a later text ties to the others."""
+    line, shared, tail = words(rng, 20), words(rng, 55), words(rng, 30)
+    texts = [" ".join(words(rng, 60) + line + words(rng, 60)) for _ in range(20)]
+    for i in range(24):
+        w = [*shared]
+        w[10 + i % 6] = f"other{i % 3}"
+        texts.append(" ".join(words(rng, 60) + w + words(rng, 60)))
+    texts.append(" ".join(words(rng, 40) + shared + words(rng, 40)))  # the first text with the passage
+    texts += [" ".join(words(rng, 40) + shared + tail + words(rng, 40)) for _ in range(2)]  # it goes on only in later ones
+    w = shared[25:] + tail
+    for k in (8, 17, 26, 35):
+        c = [*w]
+        c[k] = f"change{k}"
+        texts.append(" ".join(words(rng, 40) + c + words(rng, 40)))
+    return [*texts, "tick tock " * 40 + " ".join(line), " ".join(line) + " tick tock" * 30]
+
+
+def test_no_result_depends_on_the_size_of_a_group(spark, monkeypatch):
+    texts = variants(np.random.default_rng(15))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = []
+    for most in (1024, 8, 2):
+        monkeypatch.setattr(P, "BLOCK", most)
+        rows.append(sorted(map(tuple, P.near_duplicate_passages(docs).collect())))
+    assert rows[0] == rows[1] == rows[2]
+    comp = {r[0]: r[1] for r in rows[0]}
+    assert all(comp[i] == i for i in range(20)) and {comp[i] for i in range(44, 51)} == {comp[44]}
