@@ -204,3 +204,36 @@ def test_no_result_depends_on_the_size_of_a_group(spark, monkeypatch):
     assert rows[0] == rows[1] == rows[2]
     comp = {r[0]: r[1] for r in rows[0]}
     assert all(comp[i] == i for i in range(20)) and {comp[i] for i in range(44, 51)} == {comp[44]}
+
+
+def test_parts_of_a_common_line_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 4)
+    rng, met, save = np.random.default_rng(16), [], P.save
+
+    def counted(df, label):
+        out = save(df, label)
+        met.extend([out.count()] if label in ("large-groups-left", "open-groups") else [])
+        return out
+
+    monkeypatch.setattr(P, "save", counted)
+    line = words(rng, 20)
+    comp = components(spark, [" ".join(words(rng, 60) + line + words(rng, 60)) for _ in range(60)])
+    assert all(comp[i] == i for i in range(60)) and met and sum(met) == 0
+
+
+def test_undominated_stretches_are_as_near_to_any_other_part():
+    rng = np.random.default_rng(17)
+    for _ in range(300):
+        pool = np.arange(60)
+        a = np.concatenate([1000 + np.arange(int(rng.integers(0, 30))), pool[int(rng.integers(0, 10)) :][:50], 2000 + np.arange(int(rng.integers(0, 30)))])
+        b = np.concatenate([3000 + np.arange(int(rng.integers(0, 20))), pool, 4000 + np.arange(9)])
+        hit = rng.integers(0, len(a), int(rng.integers(0, 8)))
+        a[hit] = np.where(rng.random(len(hit)) < 0.5, 5000 + hit, rng.integers(0, 60, len(hit)))
+        values, times = np.unique(a, return_counts=True)
+        alone = ~np.isin(a, b) & (times[np.searchsorted(values, a)] == 1)
+        many = len(a) - P.LEAST + 1
+        if many < 1:
+            continue
+        keep = P.undominated(alone, np.arange(many), np.full(many, many), np.arange(many))
+        near = [P.similar(a[s : s + P.LEAST], b) for s in range(many)]
+        assert any(near) == any(n for n, k in zip(near, keep) if k)
