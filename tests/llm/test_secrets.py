@@ -66,3 +66,32 @@ def test_gradient():
     x[:100, 40:44], y[:100] = 91, 1
     net.fit(x, y, epochs=6)
     assert ((net.logits(x) > 0) == y).mean() > 0.97
+
+
+def test_every_finding_of_every_text_is_learned_from(spark):
+    rng = np.random.default_rng(21)
+    pick = lambda n: "".join("ABCDEFGHJKabcdefghjk0123456789"[i] for i in rng.integers(0, 30, n))
+    texts = [" and ".join(f"token={pick(20)}" for _ in range(60)), "plain " * 40_000 + " ".join(f"lot {pick(12)} of" for _ in range(50))]
+    texts += [f"see part {pick(10)} here" for _ in range(40)] + [f"the secret: {pick(18)} ends" for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts, None, ""])], "doc_id long, text string").repartition(5)
+    want = {(c.tobytes(), label) for t in texts for s, e, label in (
+        [(s, e, 1) for s, e, _ in S.base_findings(t)] or [(s, e, 0) for s, e in S.candidates(t, [])]
+    ) for c in [S.encode(t, s, e)]}
+    found = S.Findings(docs)
+    rows = found.rows.collect()
+    got = [(bytes(r.code), r.label) for r in rows]
+    assert len(got) == len(set(got)) and want <= set(got)
+    alone = {(S.encode(m[2], 0, len(m[2])).tobytes(), 1) for t in texts for m in S.ASSIGN.finditer(t) if len(m[2]) >= 16}
+    assert set(got) == want | alone and sum(label == 0 for _, label in got) >= 80
+    here, there = S.train(texts, 600), S.train(found, 600)  # in one process and by shards
+    assert all(np.allclose(getattr(here, k), getattr(there, k), atol=1e-6) for k in S.NAMES) and abs(here.threshold - there.threshold) < 1e-3
+    held = [r for r in rows if r.held]
+    x, y = np.stack([np.frombuffer(r.code, dtype=np.uint8) for r in held]), np.array([r.label for r in held])
+    assert (there.probability(x[y == 1]) >= there.threshold).mean() >= S.RECALL
+
+
+def test_findings_late_in_a_text_count():
+    rng = np.random.default_rng(22)
+    tokens = ["".join("ABCDEFGHJKabcdefghjk0123456789"[i] for i in rng.integers(0, 30, 20)) for _ in range(60)]
+    some, all_ = (S.train([" and ".join(f"token={t}" for t in tokens[:n])], 600) for n in (30, 60))
+    assert not np.array_equal(some.conv, all_.conv)
