@@ -22,7 +22,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import drop_saved, release, save
@@ -58,34 +58,53 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[whole]), np.concatenate(([0], np.cumsum(np.maximum(counts - SHINGLE + 1, 0))))
 
 
+def _slide(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """``least`` over each ``width`` adjacent values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        values, done = least(values[:-done], values[done:]), 2 * done
+    return least(values[: len(values) - width + done], values[width - done :]) if done < width else values
+
+
+def minima(values: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Places whose unsigned value is the minimum of some ``least`` adjacent places of their text."""
+    n, sizes = len(values), np.diff(offsets)
+    if n < least:
+        return np.zeros(0, dtype=np.int64)
+    low = _slide(values, least, np.minimum)
+    across = np.zeros(n + 1, dtype=np.int64)  # starts of stretches that a text's end cuts
+    np.add.at(across, np.maximum(offsets[:-1], offsets[1:] - least + 1), 1)
+    np.add.at(across, offsets[1:], -1)
+    low[np.cumsum(across)[: len(low)] > 0] = 0
+    edge = np.zeros(least - 1, dtype=low.dtype)
+    return np.flatnonzero((values == _slide(np.concatenate([edge, low, edge]), least, np.maximum)) & np.repeat(sizes >= least, sizes))
+
+
 def compact_windows(values: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of every node of the Cartesian trees that spans ``least`` places or more; places count over all texts.
 
-    Level by level: the minima of all open stretches split them. Of equal minima in a stretch the first stands for all."""
+    The minima of such nodes alone are split level by level: those of all open stretches split them. Of equal minima in a stretch the first stands for all."""
     found: list[list[np.ndarray]] = [[], [], []]
-    sizes = np.diff(offsets)
-    keep = sizes >= least
-    place = np.flatnonzero(np.repeat(keep, sizes))
-    heads = np.cumsum(sizes[keep]) - sizes[keep]
-    sizes = sizes[keep]
+    place = minima(values, offsets, least)
+    doc = np.searchsorted(offsets, place, side="right") - 1
+    new = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+    ahead, behind = np.concatenate(([0], place[:-1] + 1)), np.concatenate((place[1:] - 1, [0]))
+    heads = np.concatenate(([0], new)) if len(place) else new
+    lasts = np.concatenate((new, [len(place)])) - 1 if len(place) else new
+    ahead[heads], behind[lasts] = offsets[doc[heads]], offsets[doc[lasts] + 1] - 1
+    low, sizes, own = values[place], lasts - heads + 1, np.arange(len(place))
     while len(heads):
-        v = values[place]
-        low = np.minimum.reduceat(v, heads)
-        cut = v == np.repeat(low, sizes)
+        v = low[own]
+        cut = v == np.repeat(np.minimum.reduceat(v, heads), sizes)
         at = np.flatnonzero(cut)
         first = at[np.searchsorted(at, heads)]
-        found[0].append(place[heads]), found[1].append(place[first]), found[2].append(place[heads + sizes - 1])
+        found[0].append(ahead[own[heads]]), found[1].append(place[own[first]]), found[2].append(behind[own[heads + sizes - 1]])
         group = np.cumsum(cut) + np.repeat(np.arange(len(heads)), sizes) * (len(v) + 1)
-        stays = ~cut
-        place, group = place[stays], group[stays]
-        if not len(place):
+        own, group = own[~cut], group[~cut]
+        if not len(own):
             break
-        new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        width = np.diff(np.append(new, len(place)))
-        keep = width >= least
-        place = place[np.repeat(keep, width)]
-        sizes = width[keep]
-        heads = np.cumsum(sizes) - sizes
+        heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sizes = np.diff(np.append(heads, len(own)))
     none = np.zeros(0, dtype=np.int64)
     return tuple(np.concatenate([none, *f]) for f in found)
 
@@ -171,13 +190,15 @@ def _shingle_keys(value: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different shingles of each part."""
+    """The different shingles of each part, and how many of them it has to share at least: four fifths of any stretch's."""
     for b in batches:
         data, at = unpacked(b.column("part"))
         own = np.repeat(np.arange(b.num_rows), np.diff(at))
         once = np.unique(own << 24 | data, return_index=True)[1]
         key = _shingle_keys(b.column("value").to_numpy()[own[once]], data[once])
-        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("w").take(pa.array(own[once]))], names=["key", "w"])
+        again = np.diff(at) - np.bincount(own[once], minlength=b.num_rows)
+        need = -(-4 * np.maximum(LEAST - again, 1) // 5)
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("w").take(pa.array(own[once])), pa.array(need[own[once]].astype(np.int32))], names=["key", "w", "need"])
 
 
 def undominated(alone: np.ndarray, first: np.ndarray, many: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -196,7 +217,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Undominated stretches of passage length of each part, with the rarest of their shingles that other parts have too.
 
     Of d and e <= d kinds of shingles, similar stretches share 8/9 of e and 4/5 of d or more. So in any one order of shingles they share
-    one that is among the first e - ceil(8e/9) + 1 of the one (``low`` of them are listed) and the first d - ceil(4d/5) + 1 of the other."""
+    one that is among the first e - ceil(8e/9) + 1 of the one (``low`` of them are listed) and the first d - ceil(4d/5) + 1 of the other.
+    Stretches of the same shingles have the same key, whatever the shingles' order; a part has each key once."""
     for batch in batches:
         for b in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
             data, at = unpacked(b.column("part"))
@@ -225,11 +247,13 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             listed = kind & (place < (d - -(-4 * d // 5) + 1)[:, None]) & (held[order][new][grid] > 1)
             low = (listed & (place < (d - -(-8 * d // 9) + 1)[:, None])).sum(axis=1)
             counts = listed.sum(axis=1)
-            some = counts > 0
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts[some]))).astype(np.int32)), pa.array(key[order][new][grid[listed]]))
-            text = mix(RangeHash(data.view(np.uint32), _POWERS)(start[some], start[some] + LEAST) ^ mix(value[part[some]].view(np.uint64)))
+            text = mix((mix(key[order][new].view(np.uint64))[grid] * kind).sum(axis=1, dtype=np.uint64))
+            some = np.flatnonzero(counts)
+            some = np.sort(some[np.unique(mix(text[some] ^ mix(part[some].view(np.uint64))), return_index=True)[1]])
+            listed = listed[some]
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts[some]))).astype(np.int32)), pa.array(key[order][new][grid[some][listed]]))
             w = b.column("w").take(pa.array(part[some]))
-            yield pa.RecordBatch.from_arrays([pa.array(text.view(np.int64)), w, pa.array(d[some]), pa.array(low[some]), rare], names=["key", "w", "d", "low", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(text[some].view(np.int64)), w, pa.array(d[some]), pa.array(low[some]), rare], names=["key", "w", "d", "low", "rare"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: int = LEAST, bound: float = SIMILAR) -> bool:
@@ -478,9 +502,11 @@ def large_groups(large: DataFrame, n: int) -> DataFrame:
 
     Equal stretches connect their holders to the first of them, which then stands for all with that stretch. Different ones meet where
     they share a shingle that is rare in both; groups of the same parts meet once, those that are connected already don't."""
-    kinds = large.select("value", "w", "part").mapInArrow(_kinds, "key long, w long")
-    shared = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = kinds.join(shared, "key").groupBy("w").agg(F.collect_list(F.struct("key", "n")).alias("known"))
+    # counts beside the rows: a row is dealt and sorted once, and never leaves the JVM
+    kinds = large.select("value", "w", "part").mapInArrow(_kinds, "key long, w long, need int")
+    shared = kinds.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").groupBy("w")
+    # parts that share fewer shingles than any stretch of theirs needs go no further
+    known = shared.agg(F.collect_list(F.struct("key", "n")).alias("known"), F.max("need").alias("need")).where(F.size("known") >= F.col("need")).select("w", "known")
     stretches = save(large.join(known, "w").select("w", "value", "part", "known").mapInArrow(_stretches, "key long, w long, d long, low long, rare array<long>"), "stretches")
     release(large.sparkSession)
     held = save(stretches.groupBy("key").agg(F.min("w").alias("first"), F.max("w").alias("top"), F.any_value(F.struct("d", "low", "rare")).alias("x")), "different-stretches")
@@ -522,12 +548,10 @@ def passage_links(texts: DataFrame, table: str) -> DataFrame:
     Of the places of a value that similar stretches connect, the first (by uid and place) is paired with each other one, whatever the group's size."""
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    windows = save(texts.select("uid", "text").mapInArrow(_window_rows, "value long, uid long, spot long"), "windows")
-    held = save(windows.groupBy("value").agg(F.min("uid").alias("x"), F.max("uid").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("value", "m"), "shared-values")
-    release(spark)
-    met = save(windows.join(held.select("value"), "value"), "meetings")
-    hot = save(held.where(F.col("m") > BLOCK).select("value"), "large-groups")
-    drop_saved(windows)
+    windows = texts.select("uid", "text").mapInArrow(_window_rows, "value long, uid long, spot long")
+    alike = Window.partitionBy("value")
+    counted = windows.withColumns({"x": F.min("uid").over(alike), "y": F.max("uid").over(alike), "m": F.count(F.lit(1)).over(alike)})
+    met = save(counted.where("x <> y").select("value", "uid", "spot", (F.col("m") > BLOCK).alias("hot")), "meetings")
     release(spark)
 
     def parts(spots: DataFrame) -> DataFrame:
@@ -535,11 +559,11 @@ def passage_links(texts: DataFrame, table: str) -> DataFrame:
         return spark.table(table).join(asked, "uid").select("uid", "text", "wanted").mapInArrow(_parts, "value long, uid long, c long, before long, part binary")
 
     zero = F.lit(0)
-    groups = parts(met.join(hot, "value", "left_anti")).select("value", zero.alias("i"), zero.alias("j"), "uid", "c", zero.alias("side"), "before", "part")
+    groups = parts(met.where("not hot")).select("value", zero.alias("i"), zero.alias("j"), "uid", "c", zero.alias("side"), "before", "part")
     links = save(groups.repartition(n, "value").sortWithinPartitions("value").mapInArrow(_compare, "a long, b long, ca long, cb long"), "pairs")
     release(spark)
-    if not hot.isEmpty():
-        large = save(parts(met.join(hot, "value")).withColumn("w", F.monotonically_increasing_id()), "large-parts")
+    if not met.where("hot").isEmpty():
+        large = save(parts(met.where("hot")).withColumn("w", F.monotonically_increasing_id()), "large-parts")
         placed = large.select(F.col("w").alias("node"), "uid", "c").join(large_groups(large, n), "node")
         firsts = placed.groupBy("root").agg(F.min(F.struct("uid", "c")).alias("x"))
         links = links.unionByName(placed.join(firsts, "root").where("x.uid <> uid").select(F.col("x.uid").alias("a"), F.col("uid").alias("b"), F.col("x.c").alias("ca"), F.col("c").alias("cb")))

@@ -237,3 +237,41 @@ def test_undominated_stretches_are_as_near_to_any_other_part():
         keep = P.undominated(alone, np.arange(many), np.full(many, many), np.arange(many))
         near = [P.similar(a[s : s + P.LEAST], b) for s in range(many)]
         assert any(near) == any(n for n, k in zip(near, keep) if k)
+
+
+def test_minima_against_every_stretch():
+    rng = np.random.default_rng(18)
+    for least in (1, 2, 5, 46):
+        sizes = [0, 3, least, 120, 0, 45, least + 1]
+        v = rng.integers(0, 40, sum(sizes)).astype(np.uint64)
+        offsets = np.cumsum([0, *sizes])
+        want = set()
+        for o, e in zip(offsets[:-1], offsets[1:]):
+            for s in range(o, e - least + 1):
+                want |= {s + int(k) for k in np.flatnonzero(v[s : s + least] == v[s : s + least].min())}
+        assert P.minima(v, offsets, least).tolist() == sorted(want)
+
+
+def test_stretches_of_the_same_shingles_go_on_once():
+    line, n = np.arange(100, 113), 91  # a repeated line: its stretches are turns of one another
+    raw = np.tile(line, 7).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    value = np.array([5, 5])
+    key = P._shingle_keys(np.full(13, 5), line)
+    known = [[{"key": int(k), "n": 2} for k in key]] * 2
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(value), pa.array([raw, raw[: 3 * n - 12]]), pa.array(known, type=kind)], names=["w", "value", "part", "known"])
+    rows = pa.Table.from_batches(P._stretches(iter([batch])))
+    assert rows.column("w").to_pylist() == [1, 2] and len(set(rows.column("key").to_pylist())) == 1
+    assert rows.column("d").to_pylist() == [13, 13]
+
+
+def test_parts_need_four_fifths_of_a_stretch():
+    parts = [np.arange(91), np.tile(np.arange(13), 7), np.concatenate([np.arange(50), np.arange(10)])]
+    raw = [x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in parts]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 5, 5]), pa.array([0, 1, 2]), pa.array(raw)], names=["value", "w", "part"])
+    rows = pa.Table.from_batches(P._kinds(iter([batch]))).to_pylist()
+    for w, x in enumerate(parts):
+        need = {r["need"] for r in rows if r["w"] == w}
+        least = min(-(-4 * len(set(x[s : s + P.LEAST])) // 5) for s in range(len(x) - P.LEAST + 1))
+        assert len(need) == 1 and 1 <= need.pop() <= least
+    assert {r["need"] for r in rows if r["w"] == 0} == {37}
