@@ -500,8 +500,13 @@ def _compare(batches: Iterator[pa.RecordBatch], rooted: bool = False) -> Iterato
 def large_groups(large: DataFrame, n: int) -> DataFrame:
     """(node, root): parts of a value that similar stretches connect, for values of any number of parts; w names a part.
 
-    Equal stretches connect their holders to the first of them, which then stands for all with that stretch. Different ones meet where
+    Equal parts and stretches connect their holders to the first of them, which then stands for all with that stretch. Different ones meet where
     they share a shingle that is rare in both; groups of the same parts meet once, those that are connected already don't."""
+    # equal parts: the first stands for all
+    marks = large.select("w", "value", F.xxhash64("part").alias("h"))
+    firsts = marks.groupBy("value", "h").agg(F.min("w").alias("a"), F.max("w").alias("z")).where("a <> z").select("value", "h", "a")
+    twins = save(marks.join(firsts, ["value", "h"]).where("w <> a").select("a", F.col("w").alias("b")), "equal-parts")
+    large = save(large.join(twins.select(F.col("b").alias("w")), "w", "left_anti"), "different-parts")
     # counts beside the rows: a row is dealt and sorted once, and never leaves the JVM
     kinds = large.select("value", "w", "part").mapInArrow(_kinds, "key long, w long, need int")
     shared = kinds.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").groupBy("w")
@@ -510,7 +515,7 @@ def large_groups(large: DataFrame, n: int) -> DataFrame:
     stretches = save(large.join(known, "w").select("w", "value", "part", "known").mapInArrow(_stretches, "key long, w long, d long, low long, rare array<long>"), "stretches")
     release(large.sparkSession)
     held = save(stretches.groupBy("key").agg(F.min("w").alias("first"), F.max("w").alias("top"), F.any_value(F.struct("d", "low", "rare")).alias("x")), "different-stretches")
-    edges = save(stretches.select("key", "w").join(held.where("first <> top").select("key", "first"), "key").where("w <> first").select(F.col("first").alias("a"), F.col("w").alias("b")).distinct(), "equal-stretches")
+    edges = save(stretches.select("key", "w").join(held.where("first <> top").select("key", "first"), "key").where("w <> first").select(F.col("first").alias("a"), F.col("w").alias("b")).distinct().unionByName(twins), "equal-stretches")
     drop_saved(stretches)
     # e: the least number of kinds for which the shingle is among the fewer, d: the largest
     listed = held.select(F.col("first").alias("w"), "x.d", "x.low", F.posexplode("x.rare").alias("k", "key")).groupBy("key", "w").agg(F.min(F.when(F.col("k") < F.col("low"), F.col("d"))).alias("e"), F.max("d").alias("d"))

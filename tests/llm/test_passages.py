@@ -275,3 +275,19 @@ def test_parts_need_four_fifths_of_a_stretch():
         least = min(-(-4 * len(set(x[s : s + P.LEAST])) // 5) for s in range(len(x) - P.LEAST + 1))
         assert len(need) == 1 and 1 <= need.pop() <= least
     assert {r["need"] for r in rows if r["w"] == 0} == {37}
+
+
+def test_equal_parts_go_on_once(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 4)
+    rng, rows, save = np.random.default_rng(19), {}, P.save
+
+    def counted(df, label):
+        out = save(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(P, "save", counted)
+    core = words(rng, 160)
+    comp = components(spark, [" ".join(words(rng, 60) + core + words(rng, 60)) for _ in range(30)])
+    assert set(comp.values()) == {0}
+    assert rows["different-parts"] < rows["large-parts"]
