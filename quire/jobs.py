@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import compare, layout, measure, raster, rules
+from quire.operators import compare, measure, raster, rules
 from quire.sources import content, pdf, postscript, rewrite, sinks, structure
 
 VERSION = "0.1"
@@ -123,8 +123,7 @@ def version(files: DataFrame) -> DataFrame:
 
 def text(files: DataFrame) -> DataFrame:
     """(doc_id, page, txt)."""
-    g = content.pdf_glyphs(files).where("error is null").withColumn("doc_id", F.struct("doc_id", "page"))
-    return layout.page_text(g).select("doc_id.doc_id", "doc_id.page", "txt")
+    return content.pdf_text(files)
 
 
 def validate(files: DataFrame) -> DataFrame:

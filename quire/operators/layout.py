@@ -32,6 +32,28 @@ def page_text(glyphs: DataFrame, page: str = "doc_id", seq: str = "pos") -> Data
     return each.groupBy(page).agg(F.concat(F.array_join(F.transform(whole, lambda s: s["t"]), "\r\n"), F.lit("\r\n")).alias("txt"))
 
 
+def text_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, seq: np.ndarray, tok: list[str]) -> str:
+    """The text of one page in memory, as of ``page_text``; empty if no line has any."""
+    n = len(tok)
+    if not n:
+        return ""
+    order = np.lexsort((seq, x, -y))
+    jump = np.ones(n, dtype=bool)
+    jump[1:] = ~(np.abs(y[order][1:] - y[order][:-1]) <= 0.5 * h[order][:-1])
+    ln = np.empty(n, dtype=np.int64)
+    ln[order] = np.cumsum(jump)
+    order = np.lexsort((seq, -y, x, ln))
+    xs, ends, hs, lines_ = x[order], (x + w)[order], h[order], ln[order]
+    parts = [tok[i] for i in order.tolist()]
+    same = lines_[1:] == lines_[:-1]
+    for i in (np.flatnonzero(same & (xs[1:] - ends[:-1] > 0.25 * hs[:-1])) + 1).tolist()[::-1]:
+        if not parts[i - 1].endswith(" "):  # from the end on, so that the part ahead is still bare
+            parts[i] = " " + parts[i]
+    cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), n]
+    whole = (t for a, b in zip(cuts, cuts[1:]) if (t := "".join(parts[a:b]).rstrip(" ")))
+    return "".join(t + "\r\n" for t in whole)
+
+
 def body_size(runs: DataFrame, doc: str = "doc_id", size: str = "h", text: str = "tok") -> DataFrame:
     """(doc, body): the font size with most characters, the larger of equals."""
     n = runs.groupBy(doc, size).agg(F.sum(F.char_length(text)).alias("n"))

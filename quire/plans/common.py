@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for work that costs far more than to move them: a table of few splits is dealt to all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(4 * cores)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, r_, c_, r, g, b): marked pixels of four pages of 64 by 64, from line items."""
     level = lambda c, k: F.floor(F.max(c) * k + 0.5).cast("int")

@@ -142,3 +142,17 @@ def test_files_with_the_empty_password_open(aes):
     assert not doc.rebuilt and doc.contents(doc.pages()[0]) == page
     with pytest.raises(pdf.PdfError, match="invalidaccess"):
         pdf.Document.open(data.replace(b"/P -4", b"/P -8"))
+
+
+def test_text_is_laid_out_where_it_is_read(spark):
+    page = b"BT /F 12 Tf 0.5 Tc 2 Tw 3 Ts 1 0.1 0 1.5 36 700 Tm (a b) Tj (  ) Tj 1 0 0 1 400 702 Tm (far) Tj 1 0 0 1 36 600 Tm (AB) Tj 1 0 0 1 36 500 Tm ( ) Tj ET"
+    font = b"<< /BaseFont /Helvetica /Subtype /Type1 /Type /Font >>"
+    objects = [b"<< /Pages 2 0 R /Type /Catalog >>", b"<< /Count 1 /Kids [3 0 R] /Type /Pages >>", b"<< /Contents 4 0 R /Parent 2 0 R /Resources << /Font << /F 5 0 R >> >> /Type /Page >>", sinks.stream(page), font]
+    rows = spark.createDataFrame([(i, i * 3) for i in range(4)], "doc_id long, n long")
+    made = pdf.Made(rows, "n", lambda n, i: sinks.pdf_bytes(objects) if n else b"nothing")
+    glyphs = content.pdf_glyphs(made)
+    assert glyphs.where("error is not null").count() == 1
+    want = {r.doc_id: r.txt for r in layout.page_text(glyphs.where("error is null")).collect()}
+    got = content.pdf_text(made)
+    assert {r.doc_id: r.txt for r in got.collect()} == want and want[1] == "a b  far\r\nAB\r\n" and len(want) == 3
+    assert "Window" not in got._jdf.queryExecution().toString() and "Exchange" not in got._jdf.queryExecution().toString()
