@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import manifest as M
+from quire.operators import trees
 from quire.plans.common import table
 
 
@@ -78,8 +79,12 @@ union all select 'all', 'files', (select count(*) from d), 0, 0, 0, null"""
 
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as a tree of fan-out five: leaves in order, with the nearest inherited size."""
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("quire_part")
-    return spark.sql(PAGE_TREE_SQL.replace("from part", "from quire_part"))
+    k = F.col("p_partkey")
+    n = table(spark, sf_dir, "part").select(k.alias("k"), F.floor((k - 1) / 5).cast("long").alias("parent"), F.when(k % 7 == 0, k).alias("box"))
+    t = trees.descend(n, "k", "parent", F.col("parent") == 0, ["box"])
+    # as of NOT IN: a parent that is NULL leaves no row
+    t = t.join(n.select(F.col("parent").alias("k")), "k", "left_anti").join(n.where("parent is null").select(F.lit(True).alias("_")).limit(1), how="left_anti")
+    return t.select("k", "depth", F.coalesce("box", F.lit(612)).alias("box"))
 
 
 PAGE_TREE_SQL = """with recursive n as (select p_partkey as k, cast(floor((p_partkey - 1) / 5) as bigint) as parent, case when p_partkey % 7 = 0 then p_partkey else null end as own from part),
@@ -89,8 +94,10 @@ select k, depth, coalesce(box, 612) as box from t where k not in (select parent
 
 def role_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of roles followed to a standard type; a cycle or too many hops is an error."""
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").createOrReplaceTempView("quire_supplier")
-    return spark.sql(ROLE_MAPS_SQL.replace("from supplier", "from quire_supplier"))
+    k = F.col("s_suppkey")
+    r = table(spark, sf_dir, "supplier").select(k.alias("role"), F.when(k % 10 == 0, k + 1).when(k % 10 == 1, k - 1).otherwise(F.floor(k / 3).cast("long")).alias("target"))
+    far = F.col("hops") >= 16
+    return trees.follow(r, "role", "target", 16).select("role", F.when(~far, F.col("target")).alias("standard"), "hops", F.when(far, F.lit("limitcheck")).alias("err"))
 
 
 ROLE_MAPS_SQL = """with recursive r as (select s_suppkey as role, case when s_suppkey % 10 = 0 then s_suppkey + 1 when s_suppkey % 10 = 1 then s_suppkey - 1 else cast(floor(s_suppkey / 3) as bigint) end as target from supplier),
