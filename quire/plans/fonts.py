@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import fonts
+from quire.operators import fonts, trees
 from quire.operators.rules import language_tag
 from quire.plans.common import PIXELS_SQL, pixels, table
 from quire.sources.graphics import HELVETICA
@@ -111,8 +111,9 @@ ROW_DELTAS_SQL = f"""with {PIXELS_SQL} select page, r_, c_, ((r - coalesce(lag(r
 
 def actual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements as a tree of parts: the nearest ancestor's replacement text and page, and leaves whose claim disagrees."""
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("quire_part")
-    return spark.sql(ACTUAL_TEXT_SQL.replace("from part", "from quire_part"))
+    k = F.col("p_partkey")
+    n = table(spark, sf_dir, "part").select(k.alias("k"), F.floor((k - 1) / 4).cast("long").alias("parent"), F.when(k % 9 == 0, F.col("p_name")).alias("covered_by"), F.when(k % 5 == 0, k % 50).alias("page"))
+    return trees.descend(n, "k", "parent", F.col("parent") == 0, ["covered_by", "page"]).select("k", "covered_by", "page", "depth")
 
 
 ACTUAL_TEXT_SQL = """with recursive n as (select p_partkey as k, cast(floor((p_partkey - 1) / 4) as bigint) as parent, case when p_partkey % 9 = 0 then p_name end as txt, case when p_partkey % 5 = 0 then p_partkey % 50 end as pg from part),
