@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,15 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def glyph_arrays(text: str, doc_id: int | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, pos, x, y, w, h) of one document in memory, as of ``glyphs``."""
+    words = text.translate({10: "_", 13: "_", 9: "_"}).split(" ")
+    p = np.array([i for i, t in enumerate(words) if t], dtype=np.int64)
+    words = [t for t in words if t]
+    large = np.nan if doc_id is None else math.fmod(doc_id, 3) * 4
+    return words, p, p % 10 * 50.0 + p % 3, 700.0 - p // 10 * 12.0 + p % 2 * 3, np.array([len(t) * 6.0 for t in words]), 10.0 + np.where(p < 10, large, large * 0.0)
+
+
 GLYPHS_SQL = r"""g as (select doc_id, pos, translate(tok, chr(10) || chr(13) || chr(9), '___') as tok, cast(pos % 10 as double) * 50 + pos % 3 as x, 700.0::double - cast(pos // 10 as double) * 12 + (pos % 2) * 3 as y,
   cast(length(tok) as double) * 6 as w, 10.0::double + cast(doc_id % 3 as double) * (case when pos // 10 = 0 then 4 else 0 end) as h
   from (select doc_id, unnest(range(len(a))) as pos, unnest(a) as tok from (select doc_id, string_split(text, ' ') as a from documents)) where tok <> '')"""
