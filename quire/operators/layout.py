@@ -126,68 +126,115 @@ def mcid_numbers(spans: DataFrame, page: str = "page", first: str = "first", las
 BASELINE, COLUMN_GAP, BLOCK_GAP = 0.5, 3.0, 1.35
 
 
-def cluster_page(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines, blocks and their reading order of one page of runs.
+#: Blocks beyond which a line, or the next block to read, is compared with all of them at once.
+MANY = 48
+
+
+def order_runs(x: list[float], y: list[float], w: list[float], h: list[float]) -> tuple[list[int], list[int], list[int]]:
+    """(line of each run, block of each line, place of each block) of one page of runs, which come sorted from top to bottom and left to right.
 
     Runs within half the height of a cluster's members from its first baseline form a cluster, which is cut from left to
     right where a gap is too wide. A line joins the nearest block that it overlaps and that is close enough to it, by the smaller
-    of both heights. Of blocks side by side the left one reads first, else the upper one.
-
-    ``page``: doc_id, page, seq, x, y, w, h. Adds ``line``, ``block``, ``order``."""
-    rows = page.sort_values(["y", "x", "seq"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    x, y, w, h = (rows[c].to_numpy(dtype=float) for c in "xywh")
+    of both heights. Of blocks side by side the left one reads first, else the upper one."""
     clusters: list[list[int]] = []
-    for i in range(len(rows)):
-        if clusters and abs(y[i] - y[clusters[-1][0]]) <= BASELINE * max(h[k] for k in clusters[-1]):
+    base = tall = 0.0
+    for i, at in enumerate(y):
+        if clusters and abs(at - base) <= BASELINE * tall:
             clusters[-1].append(i)
+            tall = max(tall, h[i])
         else:
             clusters.append([i])
-    lines: list[dict] = []
-    line_of = np.zeros(len(rows), dtype=np.int64)
+            base, tall = at, h[i]
+    lines: list[list[float]] = []  # left, right, top, bottom, height
+    line_of = [0] * len(y)
     for members in clusters:
         now = None
-        for i in sorted(members, key=lambda k: x[k]):
-            if now is None or x[i] - now["right"] > COLUMN_GAP * now["high"]:
-                now = {"left": x[i], "right": x[i] + w[i], "top": y[i] + h[i], "bottom": y[i], "high": h[i]}
+        for i in sorted(members, key=x.__getitem__):
+            if now is None or x[i] - now[1] > COLUMN_GAP * now[4]:
+                now = [x[i], x[i] + w[i], y[i] + h[i], y[i], h[i]]
                 lines.append(now)
             else:
-                now |= {"right": max(now["right"], x[i] + w[i]), "top": max(now["top"], y[i] + h[i]), "bottom": min(now["bottom"], y[i]), "high": max(now["high"], h[i])}
+                now[1], now[2], now[3], now[4] = max(now[1], x[i] + w[i]), max(now[2], y[i] + h[i]), min(now[3], y[i]), max(now[4], h[i])
             line_of[i] = len(lines) - 1
-    blocks: list[dict] = []
-    block_of = np.zeros(len(lines), dtype=np.int64)
-    for n in sorted(range(len(lines)), key=lambda k: (-lines[k]["top"], lines[k]["left"])):
-        line, best = lines[n], None
-        for k, block in enumerate(blocks):
-            if line["right"] <= block["left"] or line["left"] >= block["right"]:
-                continue
-            gap = block["bottom"] - line["top"]
-            gap = line["bottom"] - block["top"] if gap < 0 else gap
-            if gap <= BLOCK_GAP * min(block["high"], line["high"]) and (best is None or gap < best[0]):
-                best = (gap, k)
-        if best is None:
-            blocks.append(dict(line))
-            block_of[n] = len(blocks) - 1
+    blocks: list[list[float]] = []
+    bounds = np.empty((5, 2 * MANY))
+    block_of = [0] * len(lines)
+    for n in sorted(range(len(lines)), key=lambda k: (-lines[k][2], lines[k][0])):
+        left, right, top, bottom, high = lines[n]
+        best, nearest = -1, 0.0
+        if len(blocks) <= MANY:
+            for k, (l_, r_, t_, b_, h_) in enumerate(blocks):
+                if right <= l_ or left >= r_:
+                    continue
+                gap = b_ - top
+                if gap < 0:
+                    gap = bottom - t_
+                if gap <= BLOCK_GAP * min(h_, high) and (best < 0 or gap < nearest):
+                    best, nearest = k, gap
         else:
-            b = blocks[best[1]]
-            b |= {"left": min(b["left"], line["left"]), "right": max(b["right"], line["right"]), "top": max(b["top"], line["top"]), "bottom": min(b["bottom"], line["bottom"]), "high": max(b["high"], line["high"])}
-            block_of[n] = best[1]
+            l_, r_, t_, b_, h_ = bounds[:, : len(blocks)]
+            gap = np.where(b_ - top < 0, bottom - t_, b_ - top)
+            near = np.flatnonzero(~((right <= l_) | (left >= r_)) & (gap <= BLOCK_GAP * np.minimum(h_, high)))
+            best = int(near[gap[near].argmin()]) if len(near) else -1
+        if best < 0:
+            best = len(blocks)
+            blocks.append(list(lines[n]))
+            if best == bounds.shape[1]:
+                bounds = np.concatenate((bounds, np.empty_like(bounds)), axis=1)
+        else:
+            b = blocks[best]
+            b[0], b[1], b[2], b[3], b[4] = min(b[0], left), max(b[1], right), max(b[2], top), min(b[3], bottom), max(b[4], high)
+        bounds[:, best] = blocks[best]
+        block_of[n] = best
+    return line_of, block_of, _places(blocks) if len(blocks) <= MANY else _places_of_many(bounds[:, : len(blocks)])
+
 
-    def before(a: dict, b: dict) -> bool:
-        if min(a["top"], b["top"]) > max(a["bottom"], b["bottom"]) and a["left"] != b["left"]:
-            return a["left"] < b["left"]
-        return (-a["top"], a["left"]) < (-b["top"], b["left"])
+def _before(a: list[float], b: list[float]) -> bool:
+    if min(a[2], b[2]) > max(a[3], b[3]) and a[0] != b[0]:
+        return a[0] < b[0]
+    return (-a[2], a[0]) < (-b[2], b[0])
 
-    left, order = list(range(len(blocks))), np.zeros(len(blocks), dtype=np.int64)
+
+def _places(blocks: list[list[float]]) -> list[int]:
+    left, order = list(range(len(blocks))), [0] * len(blocks)
     for n in range(len(blocks)):  # selection, as the comparison is not transitive
         best = left[0]
         for c in left[1:]:
-            if before(blocks[c], blocks[best]):
+            if _before(blocks[c], blocks[best]):
                 best = c
         order[best] = n
         left.remove(best)
+    return order
+
+
+def _places_of_many(bounds: np.ndarray) -> list[int]:
+    """As ``_places``: the next block that comes before the best one so far is found among all that are left at once."""
+    ids, rest, order = np.arange(bounds.shape[1]), bounds[:4], [0] * bounds.shape[1]
+    for n in range(len(order)):
+        at = 0
+        while True:
+            left, _, top, bottom = rest[:, at + 1 :]
+            l_, _, t_, b_ = rest[:, at]
+            side = (np.minimum(top, t_) > np.maximum(bottom, b_)) & (left != l_)
+            ahead = np.where(side, left < l_, (top > t_) | (top == t_) & (left < l_))
+            step = int(ahead.argmax()) if len(ahead) else 0
+            if not len(ahead) or not ahead[step]:
+                break
+            at += 1 + step
+        order[int(ids[at])] = n
+        ids, rest = np.delete(ids, at), np.delete(rest, at, axis=1)
+    return order
+
+
+def cluster_page(page: pd.DataFrame) -> pd.DataFrame:
+    """Lines, blocks and their reading order of one page of runs, as of ``order_runs``.
+
+    ``page``: doc_id, page, seq, x, y, w, h. Adds ``line``, ``block``, ``order``."""
+    rows = page.sort_values(["y", "x", "seq"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    line_of, block_of, order = (np.array(v, dtype=np.int64) for v in order_runs(*(rows[c].to_numpy(dtype=float).tolist() for c in "xywh")))
     rows["line"] = line_of
-    rows["block"] = block_of[line_of] if len(lines) else line_of
-    rows["order"] = order[rows["block"]] if len(blocks) else line_of
+    rows["block"] = block_of[line_of] if len(block_of) else line_of
+    rows["order"] = order[rows["block"]] if len(order) else line_of
     return rows
 
 

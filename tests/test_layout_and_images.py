@@ -78,3 +78,24 @@ def test_colour_spaces_policies_and_refusals(spark):
     doc = Document.open(tint)
     with pytest.raises(ValueError, match="undefined"):
         images.pixels(doc, Stream({"Width": 2, "Height": 2, "BitsPerComponent": 8, "ColorSpace": "Nope", "Filter": "FlateDecode"}, zlib.compress(RGB)))
+
+
+def test_pages_of_many_blocks_and_of_words_that_are_not_shuffled(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from quire.plans.common import glyph_arrays, glyphs
+
+    for seed, (x, y, w) in enumerate(((300, 900, 20), (3000, 3000, 60), (2000, 300, 8))):
+        r = np.random.default_rng(seed)
+        runs = page(*zip(r.integers(0, x, 300), r.integers(0, y, 300), r.integers(1, w, 300), r.integers(3, 14, 300)))
+        few = layout.cluster_page(runs)
+        monkeypatch.setattr(layout, "MANY", 2)  # all blocks are compared at once beyond two
+        assert layout.cluster_page(runs).equals(few) and few["block"].max() > 2
+        monkeypatch.undo()
+    data = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for doc_id, rows in glyphs(spark, data).orderBy("pos").toPandas().groupby("doc_id"):
+        words, *numbers = glyph_arrays(text[doc_id], doc_id)
+        assert words == rows["tok"].tolist() and all(v.tolist() == rows[c].tolist() for v, c in zip(numbers, ("pos", "x", "y", "w", "h")))
+    for name in ("extract_text", "reading_order"):
+        plan = entry.queries()[name](spark, data)._jdf.queryExecution().toString()
+        assert not any(step in plan for step in ("Window", "Generate", "FlatMapGroups"))
