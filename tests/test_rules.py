@@ -10,3 +10,17 @@ def test_composite_fonts_and_cmyk_through_references(spark):
     rows = spark.createDataFrame([(i, sinks.pdf_bytes(f)) for i, f in enumerate(files)], "doc_id long, content binary")
     found = {r.doc_id: r.rule for r in rules.first_violation(rules.archive_violations(pdf.objects(rows))).collect()}
     assert found == {1: "font-not-embedded", 2: "cmyk-without-profile", 4: "cmyk-without-profile"}
+    assert "MapInArrow" not in rules.archive_violations(pdf.objects(rows))._jdf.queryExecution().toString()  # no rule parses the files again
+
+
+def test_trees_and_facts_come_of_one_parse(spark):
+    from quire.plans.files import RULES
+    from quire.sources import structure
+
+    rows = spark.createDataFrame([(i, structure.tagged_pdf(r)) for i, r in enumerate(RULES)] + [(20, b"no file")], "doc_id long, content binary")
+    got = structure.counted_facts(rows)
+    assert got.select(structure.facts(rows).columns).exceptAll(structure.facts(rows)).count() == 0
+    counts = {r.doc_id: (r.elements, r.actual, r.n_claims) for r in got.collect()}
+    trees = {r.doc_id for r in structure.elements(rows).where("error is null").collect()}
+    assert counts == {i: (2, "said", 1) if i in trees else (None, None, None) for i in [*range(11), 20]} and len(trees) == 10
+    assert "Join" not in got._jdf.queryExecution().toString()
