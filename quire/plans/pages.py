@@ -82,9 +82,8 @@ def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     pts = [(k % 50 + 0.25, c % 40 + 0.25), (k % 50 + 12.5, c % 40 + 3.25), (k % 31 + 4.75, c % 40 + 20.5)]
-    points = o.select(k.alias("path_id"), F.posexplode(F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in pts])).alias("seq", "p")).select("path_id", "seq", "p.x", "p.y", (F.col("seq") == 0).alias("move"))
-    inside = raster.fill(raster.edges_of(points), 64, 64)
-    return inside.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+    points = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(i == 0).alias("move")) for i, (x, y) in enumerate(pts)])
+    return raster.fill_paths(o.select(k.alias("path_id"), "o_orderkey", "o_custkey"), points, 64, 64, totals=True)
 
 
 POLYGON_FILL_SQL = """with p as (select o_orderkey as k, o_orderkey % 50 + 0.25::double as xa, o_custkey % 40 + 0.25::double as ya, o_orderkey % 50 + 12.5::double as xb, o_custkey % 40 + 3.25::double as yb, o_orderkey % 31 + 4.75::double as xc, o_custkey % 40 + 20.5::double as yc from orders),
