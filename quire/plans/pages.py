@@ -97,7 +97,7 @@ def stroke_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     seg = o.select(k.alias("path_id"), (k % 60).cast("double").alias("x0"), (c % 60).cast("double").alias("y0"), (c % 55 + 3).cast("double").alias("x1"), (k % 47 + 9).cast("double").alias("y1"))
-    return raster.stroke(seg, 1.25, 64, 64).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+    return raster.stroke(seg, 1.25, 64, 64, totals=True)
 
 
 STROKE_SEGMENTS_SQL = """with s as (select o_orderkey as k, (o_orderkey % 60)::double as x0, (o_custkey % 60)::double as y0, (o_custkey % 55 + 3)::double as x1, (o_orderkey % 47 + 9)::double as y1 from orders),

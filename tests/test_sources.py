@@ -188,3 +188,57 @@ def test_files_are_made_and_parsed_in_pieces(spark, monkeypatch):
 
     plan = entry.queries()["pdf_objects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 4  # one kernel, in each of four plans
+
+
+def test_shapes_are_cut_without_dealing_pixels(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(5)
+    rows = [(None if i == 39 else i // 3, (i // 3, 1), [(float(x), float(y), k % 4 == 0) for k, (x, y) in enumerate(rng.uniform(-5, 45, (11, 2)).round(1))]) for i in range(40)]  # three rows a path
+    shape = "path_id long, place struct<a:int,b:int>, points array<struct<x:double,y:double,move:boolean>>"
+    paths = spark.createDataFrame(rows, shape).repartition(3)
+
+    def edges(pts):
+        subs: list[list] = []
+        for x, y, move in pts:
+            subs.append([]) if move else None
+            subs[-1].append((x, y))
+        return [(p, q) for s in subs for p, q in zip(s, s[1:] + s[:1])]
+
+    def inside(key, odd):
+        e, out = [x for k, _, pts in rows if k == key for x in edges(pts)], set()
+        for r in range(40):
+            cy = 40 - r - 0.5
+            hits = [(x0 + (cy - y0) / (y1 - y0) * (x1 - x0), 1 if y1 > y0 else -1) for (x0, y0), (x1, y1) in e if y0 != y1 and min(y0, y1) <= cy < max(y0, y1)]
+            for c in range(40):
+                wind = sum(d for x, d in hits if x > c + 0.5)
+                if wind % 2 if odd else wind:
+                    out.add((r, c))
+        return out
+
+    def near(key, half):
+        e, out = [x for k, _, pts in rows if k == key for x in edges(pts)], set()
+        y, x = np.mgrid[0:40, 0:40]
+        for (x0, y0), (x1, y1) in e:
+            px, py, dx, dy = x + 0.5, 40 - y - 0.5, x1 - x0, y1 - y0
+            t = np.clip(((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy or 1), 0, 1)
+            out |= set(zip(*(v.tolist() for v in np.nonzero(np.sqrt((px - x0 - t * dx) ** 2 + (py - y0 - t * dy) ** 2) <= half))))
+        return out
+
+    keys = {k for k, _, _ in rows}
+    segments = spark.createDataFrame([(k, float(a[0]), float(a[1]), float(b[0]), float(b[1]), 1.5) for k, _, pts in rows for a, b in edges(pts)], "path_id long, x0 double, y0 double, x1 double, y1 double, half double")
+    pixel = lambda df: {k: {(r.row, r.col) for r in got if r.path_id == k} for got in [df.collect()] for k in {r.path_id for r in got}}
+    for piece in (raster.PIECE, 40):  # whole, and in bands of rows
+        monkeypatch.setattr(raster, "PIECE", piece)
+        for odd in (False, True):
+            found = raster.fill_paths(paths, F.col("points"), 40, 40, odd)
+            assert found.count() == found.distinct().count()
+            assert pixel(found) == {k: inside(k, odd) for k in keys}
+        assert pixel(raster.stroke_wide(segments, 40, 40)) == {k: near(k, 1.5) for k in keys}
+        totals = {r.path_id: (r.n, r.rows, r.cols) for r in raster.fill_paths(paths, F.col("points"), 40, 40, totals=True).collect()}
+        assert totals == {k: (len(p), sum(r for r, _ in p), sum(c for _, c in p)) for k in keys for p in [inside(k, False)]}
+    by_struct = raster.fill_paths(paths.where("path_id is not null").select("place", "points"), F.col("points"), 40, 40, path="place").groupBy("place.a").count().collect()
+    assert {r.a: r["count"] for r in by_struct} == {k: len(inside(k, False)) for k in keys if k is not None}
+    for name in ("polygon_fill", "postscript_shapes", "stroke_segments"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(step in plan for step in ("Window", "Aggregate", "Generate"))
