@@ -11,6 +11,7 @@ calculator functions (reals, with half-away rounding).
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
@@ -43,6 +44,20 @@ class Value:
     exec: bool = False
 
 
+@lru_cache(maxsize=1 << 14)
+def _atom(t: str) -> int | float | tuple[str, str]:
+    """A number or a name; programs repeat them."""
+    if NUMBER.match(t):
+        n = float(t) if re.search(r"[.eE]", t) else int(t)
+        return float(n) if isinstance(n, int) and not INT_MIN <= n <= INT_MAX else n
+    if (r := RADIX.match(t)) and 2 <= int(r[1]) <= 36:
+        n = int(r[2], int(r[1]))
+        if n > INT_MAX:
+            raise ProgramError("rangecheck", t)
+        return n
+    return ("lit", t[1:]) if t[0] == "/" else ("name", t)
+
+
 def parse(text: str) -> list:
     """Tokens to a nested list: numbers, ('name', x), ('lit', x), ('str', x), lists for procedures."""
     out: list = [[]]
@@ -64,19 +79,7 @@ def parse(text: str) -> list:
         elif m["brace"]:
             out[-1].append(("name", m["brace"]))
         elif m["name"]:
-            t = m["name"]
-            if NUMBER.match(t):
-                n = float(t) if re.search(r"[.eE]", t) else int(t)
-                if isinstance(n, int) and not INT_MIN <= n <= INT_MAX:
-                    n = float(n)
-                out[-1].append(n)
-            elif (r := RADIX.match(t)) and 2 <= int(r[1]) <= 36:
-                n = int(r[2], int(r[1]))
-                if n > INT_MAX:
-                    raise ProgramError("rangecheck", t)
-                out[-1].append(n)
-            else:
-                out[-1].append(("lit", t[1:]) if t[0] == "/" else ("name", t))
+            out[-1].append(_atom(m["name"]))
     if len(out) > 1:
         raise ProgramError("syntaxerror", "{")
     return out[0]
