@@ -36,9 +36,12 @@ def compare_rasters(left: DataFrame, right: DataFrame, width: Column, page: str
 
 def first_failing_page(pages: DataFrame, others: DataFrame, doc: str = "doc_id", page: str = "page", digest: str = "digest") -> DataFrame:
     """(doc, reason, page): page lists of two versions of documents; a different count is 'length', else the first pair that differs."""
-    a = pages.select(doc, page, F.col(digest).alias("d1"))
-    b = others.select(doc, page, F.col(digest).alias("d2"))
-    both = a.join(b, [doc, page], "full").groupBy(doc).agg(F.count("d1").alias("n1"), F.count("d2").alias("n2"), F.min(F.when(~F.col("d1").eqNullSafe(F.col("d2")), F.col(page))).alias("p"))
+    none, keys = F.lit(None).cast(pages.schema[digest].dataType), [doc, page]
+    each = pages.select(*keys, F.col(digest).alias("d1"), none.alias("d2")).unionByName(others.select(*keys, none.alias("d1"), F.col(digest).alias("d2")))
+    # both lists meet in one aggregate, so pages dealt by document before are neither dealt again nor sorted apart
+    met = each.groupBy(*keys).agg(*[f(d).alias(f"{f.__name__}_{d}") for d in ("d1", "d2") for f in (F.min, F.max, F.count)])
+    same = F.col("min_d1").eqNullSafe(F.col("max_d2")) & F.col("max_d1").eqNullSafe(F.col("min_d2")) & F.col(doc).isNotNull()
+    both = met.groupBy(doc).agg(F.sum("count_d1").alias("n1"), F.sum("count_d2").alias("n2"), F.min(F.when(~same, F.col(page))).alias("p"))
     reason = F.when(F.col("n1") != F.col("n2"), F.lit("length")).when(F.col("p").isNotNull(), F.lit("page")).otherwise(F.lit("equal"))
     return both.select(doc, reason.alias("reason"), F.when(reason == "page", F.col("p")).alias("page"))
 

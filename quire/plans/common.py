@@ -19,6 +19,15 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(4 * cores)
 
 
+#: Rows of a task where all rows of a key meet.
+TASK_ROWS = 1 << 18
+
+
+def dealt_by(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a key in one task, and about as many rows in a task whatever the size of the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), key)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, r_, c_, r, g, b): marked pixels of four pages of 64 by 64, from line items."""
     level = lambda c, k: F.floor(F.max(c) * k + 0.5).cast("int")

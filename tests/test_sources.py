@@ -242,3 +242,18 @@ def test_shapes_are_cut_without_dealing_pixels(spark, monkeypatch):
     for name in ("polygon_fill", "postscript_shapes", "stroke_segments"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not any(step in plan for step in ("Window", "Aggregate", "Generate"))
+
+
+def test_page_lists_meet_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from quire.plans import common
+
+    one = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (3, 1, "a"), (3, 2, "c"), (4, 1, None), (5, 1, "q"), (None, 1, "n")], "doc_id long, page int, digest string")
+    two = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "a"), (3, 1, "b"), (3, 2, "d"), (4, 1, None), (6, 3, "q"), (None, 1, "n")], "doc_id long, page int, digest string")
+    got = {r.doc_id: (r.reason, r.page) for r in compare.first_failing_page(one, two).collect()}
+    assert got == {1: ("equal", None), 2: ("length", None), 3: ("page", 1), 4: ("equal", None), 5: ("length", None), 6: ("length", None), None: ("page", 1)}
+    monkeypatch.setattr(common, "TASK_ROWS", 500)
+    df = entry.queries()["compare_page_lists"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") and "doc_id" in plan
+    assert df.rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
