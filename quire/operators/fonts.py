@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +47,9 @@ def subset_tag(digest_of: Column) -> Column:
 
 def checksum(data: Column) -> Column:
     """Sum of big-endian 32-bit words modulo 2**32, the last one padded with zeros."""
-    data = data.cast("binary")
-    n = F.ceil(F.octet_length(data) / 4).cast("int")
-    word = lambda i: F.conv(F.rpad(F.hex(F.substring(data, 4 * i + 1, F.lit(4))), 8, "0"), 16, 10).cast("long")
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, i: (a + word(i)) % (1 << 32))
-    return F.when(n > 0, total).otherwise(F.lit(0).cast("long"))
+    @F.arrow_udf("long")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([int(np.frombuffer((v or b"") + bytes(-len(v or b"") % 4), dtype=">u4").sum(dtype=np.uint64)) & 0xFFFFFFFF for v in (x.as_py() for x in part)], pa.int64())
+
+    return run(data.cast("binary"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import fonts, trees
 from quire.operators.rules import language_tag
-from quire.plans.common import PIXELS_SQL, pixels, table
+from quire.plans.common import PIXELS_SQL, dealt, pixels, table
 from quire.sources.graphics import HELVETICA
 
 _WIDTHS = "w as (select unnest(range(32, 127)) as code, unnest([" + ", ".join(map(str, HELVETICA)) + "])::double as width)"
@@ -62,7 +62,8 @@ select lang, source, n::int as n, codes_md5, n_lang::int as n_lang from e join u
 def font_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subset tags, table checksums, UTF-16 text and ordered digests of documents."""
     utf = F.decode(F.encode("text", "UTF-16BE"), "UTF-16BE")
-    return table(spark, sf_dir, "documents").select("doc_id", fonts.subset_tag(F.col("text")).alias("tag"), fonts.checksum(F.col("text")).alias("checksum"), F.md5(utf).alias("utf16_md5"), F.sha2(F.concat("source", F.lit("\n"), "lang", F.lit("\n"), "text"), 256).alias("digest"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return docs.select("doc_id", fonts.subset_tag(F.col("text")).alias("tag"), fonts.checksum(F.col("text")).alias("checksum"), F.md5(utf).alias("utf16_md5"), F.sha2(F.concat("source", F.lit("\n"), "lang", F.lit("\n"), "text"), 256).alias("digest"))
 
 
 FONT_DIGESTS_SQL = """with h as (select doc_id, text, source, lang, sha256(text) as s, hex(encode(text)) as x from documents),
